@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ["q_rules"]
+GROUPS = ["q_rules", "q_snapshots"]
 
 
 def load_catalog():

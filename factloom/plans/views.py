@@ -162,11 +162,12 @@ SELECT * FROM (VALUES
 
 VIEWS["v_allows"] = """
 SELECT * FROM (VALUES
-  ('alpha', 1, 'src/supp/n1/f1.rs:7', 'driving must not depend-on driven', NULL, 'old call', 'ann'),
-  ('alpha', 2, 'src/cust/building/f0.rs::u0', 'accounts must not depend-on externals', NULL, 'root user', 'ben'),
-  ('alpha', 3, 'cust::cust::furniture::u5#struct', 'accounts must not depend-on externals', 'external:http:1-URGENT', 'by id', 'cyd'),
-  ('alpha', 4, 'src/supp/n12/f1.rs:3', 'suppliers must not depend-on catalog', 'src/standard/c1/f1.rs', 'prefix', 'dan'),
-  ('beta', 1, 'src/supp/n11/f1.rs::s1', 'edge must not depend-on core', NULL, 'one site', 'eve')
+  ('alpha', 1, 'src/supp/n12/f7.rs:10', 'driving must not depend-on driven', NULL, 'old call', 'ann'),
+  ('alpha', 2, 'src/cust/building/f1.rs::u81', 'accounts must not depend-on externals', NULL, 'root user', 'ben'),
+  ('alpha', 3, 'cust::cust::building::u11#struct', 'accounts must not depend-on externals', 'external:http:1-URGENT', 'by id', 'cyd'),
+  ('alpha', 4, 'src/supp/n12/f7.rs::s7', 'suppliers must not depend-on catalog', 'src/promo/c0/f10.rs', 'prefix', 'dan'),
+  ('alpha', 5, 'src/supp/n12/f7.rs::s7', 'driving must not depend-on driven', NULL, 'whole site', 'ann'),
+  ('beta', 1, 'src/supp/n8/f6.rs::s6', 'edge must not depend-on core', NULL, 'one site', 'eve')
 ) AS t(repo, ord, site, rule, target, reason, "by")"""
 
 
