@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ["q_rules", "q_snapshots"]
+GROUPS = ["q_rules", "q_snapshots", "q_graph", "q_areas"]
 
 
 def load_catalog():
@@ -12,5 +12,6 @@ def load_catalog():
     for group in GROUPS:
         importlib.import_module(f"factloom.plans.{group}")
     from factloom.plans import catalog
+    from factloom.plans.views import duckdb_sql
 
-    return catalog.QUERIES, catalog.ORACLES
+    return catalog.QUERIES, {name: duckdb_sql(sql) for name, sql in catalog.ORACLES.items()}
