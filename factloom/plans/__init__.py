@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ["q_rules", "q_snapshots", "q_graph", "q_areas"]
+GROUPS = ["q_rules", "q_snapshots", "q_graph", "q_areas", "q_invariants"]
 
 
 def load_catalog():

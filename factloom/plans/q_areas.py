@@ -35,7 +35,9 @@ SELECT repo, "from" AS id FROM v_all_links WHERE kind = 'routes' AND target_kind
 VIEWS["v_entry_ids"] = """SELECT repo, item AS id FROM v_few_entries UNION SELECT repo, id FROM v_route_ends"""
 # Few entries, so that domain and driven modules remain.
 VIEWS["v_few_entries"] = """SELECT repo, tree_key, id AS item, 'main' AS kind, file, line FROM v_items WHERE pos % 193 = 0 AND crate = 'part' AND repo = 'alpha'"""
-VIEWS["v_few_links"] = """SELECT * FROM v_all_links WHERE kind <> 'routes' OR line % 100 = 7"""
+VIEWS["v_few_links"] = """
+SELECT * FROM v_all_links WHERE kind <> 'routes' OR line % 100 = 7
+UNION ALL SELECT 'alpha', 'commit:alpha', "from", 'table', 't1', CAST(NULL AS STRING), 'reads', 'resolved', file, line FROM v_call_links_1 WHERE b % 29 = 0"""
 for name in ("v_io_from", "v_route_ends"):
     VIEWS[name] = VIEWS[name].replace("v_all_links", "v_few_links")
 VIEWS["v_flags"] = """

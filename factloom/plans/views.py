@@ -167,6 +167,11 @@ SELECT * FROM (VALUES
   ('alpha', 3, 'cust::cust::building::u11#struct', 'accounts must not depend-on externals', 'external:http:1-URGENT', 'by id', 'cyd'),
   ('alpha', 4, 'src/supp/n12/f7.rs::s7', 'suppliers must not depend-on catalog', 'src/promo/c0/f10.rs', 'prefix', 'dan'),
   ('alpha', 5, 'src/supp/n12/f7.rs::s7', 'driving must not depend-on driven', NULL, 'whole site', 'ann'),
+  ('alpha', 6, 'src/supp/n0/f15.rs:105', 'driving must not depend-on driven', NULL, 'old call', 'fay'),
+  ('alpha', 7, 'src/cust/building/f0.rs::u1120', 'accounts must not depend-on externals', NULL, 'one user', 'gus'),
+  ('alpha', 8, 'cust::cust::building::u1002#struct', 'accounts must not depend-on externals', 'external:http:1-URGENT', 'by id', 'hal'),
+  ('alpha', 9, 'src/supp/n10/f18.rs::s38', 'suppliers must not depend-on catalog', 'src/promo/c0/f0.rs', 'prefix', 'ida'),
+  ('beta', 2, 'src/supp/n0/f15.rs::s75', 'edge must not depend-on core', NULL, 'one site', 'jon'),
   ('beta', 1, 'src/supp/n8/f6.rs::s6', 'edge must not depend-on core', NULL, 'one site', 'eve')
 ) AS t(repo, ord, site, rule, target, reason, "by")"""
 
