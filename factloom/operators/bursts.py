@@ -36,7 +36,7 @@ def bursts(changes: DataFrame, quiet_us: int, max_age_us: int, keys: Sequence[st
     cell = F.floor(c("at") / width)
     gaps = carried(points, keys, ["at"], cell, {"_prev": c("at")})
     opens = F.when(c("_prev").isNull() | (c("at") - c("_prev") > quiet_us), c("at"))
-    marked = carried(gaps.drop("_prev").withColumn("_open", opens), keys, ["at"], cell, {"_island": c("_open")})
+    marked = carried(gaps.withColumn("_open", opens).drop("_prev"), keys, ["at"], cell, {"_island": c("_open")})
     islands = marked.select(*keys, "at", F.coalesce("_open", "_island").alias("island"))
     islands = materialize(islands, "islands")
     old = islands.groupBy(*keys, "island").agg(F.max("at").alias("_end")).filter(c("_end") - c("island") > max_age_us).select(*keys, "island")

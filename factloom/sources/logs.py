@@ -20,7 +20,7 @@ def numbered_lines(texts: DataFrame) -> DataFrame:
 def read_thread(spark: SparkSession, path: str) -> DataFrame:
     """Thread entries of ``<path>/<session>/thread.jsonl`` files: (session, pos, kind, …); blank lines are skipped, a line
     that is no entry fails the read and names its number. A thread is one session's own log file."""
-    texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(
+    texts = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(path).select(
         F.regexp_extract(F.input_file_name(), r"session=([^/]*)/", 1).alias("session"), c("value").alias("content"))
     return parse_thread(numbered_lines(texts))
 
