@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ["q_rules", "q_snapshots", "q_graph", "q_areas", "q_invariants", "q_sessions", "q_text"]
+GROUPS = ["q_rules", "q_snapshots", "q_graph", "q_areas", "q_invariants", "q_sessions", "q_text", "q_streams"]
 
 
 def load_catalog():
