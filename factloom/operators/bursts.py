@@ -80,7 +80,7 @@ def burst_windows(tagged: DataFrame, keys: Sequence[str]) -> DataFrame:
 def quiet_sessions(changes: DataFrame, quiet: str, keys: Sequence[str]) -> DataFrame:
     """Bursts closed by quiet alone: session windows, in a batch or a stream with a watermark. changes (keys, ts)."""
     return (
-        changes.groupBy(*keys, F.session_window(c("ts").cast("timestamp"), quiet).alias("w")).agg(F.count(F.lit(1)).alias("changes"))
+        changes.groupBy(*keys, F.session_window(c("ts"), quiet).alias("w")).agg(F.count(F.lit(1)).alias("changes"))
         .select(*keys, c("w.start").alias("start"), c("w.end").alias("end"), "changes")
     )
 

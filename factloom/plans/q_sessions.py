@@ -453,7 +453,7 @@ def _(i):
 SELECT worktree, CAST(min(tm) AS BIGINT) AS "start", CAST(max(tm) + {QUIET} AS BIGINT) AS "end", CAST(count(*) AS BIGINT) AS changes FROM (SELECT *, sum(o) OVER (PARTITION BY worktree ORDER BY tm, seq) AS g FROM (
   SELECT worktree, seq, epoch_us(ts) AS tm, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY worktree ORDER BY ts, seq) <= {QUIET} THEN 0 ELSE 1 END AS o FROM v_changes) x) y GROUP BY worktree, g""")
 def _(i):
-    return B.quiet_sessions(i.v_changes, "1 hour", ["worktree"]).select("worktree", B.micros(c("start")).alias("start"), B.micros(c("end")).alias("end"), "changes")
+    return B.quiet_sessions(i.v_changes.withColumn("ts", c("ts").cast("timestamp")), "1 hour", ["worktree"]).select("worktree", B.micros(c("start")).alias("start"), B.micros(c("end")).alias("end"), "changes")
 
 
 @query("burst_batches", "SELECT DISTINCT worktree, burst, path FROM v_tagged")
