@@ -1,19 +1,25 @@
-"""What SQL text touches and creates, as array expressions: each statement stays one row and nothing is shuffled."""
+"""What SQL text touches and creates. Each statement stays one row and nothing is shuffled.
+
+The work is staged in columns: words, then the few positions of keywords, then what they name. Later stages only look at
+those positions, so a long text is walked once.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom import fixed
 from factloom.functions.columns import table_name
 
+c = F.col
+KEYWORDS = ["from", "join", "into", "update", "skip", "create"]
+
 
 def sql_words(sql: Column) -> Column:
     """array<struct<word, line>>: the words with their 1-based lines, ``--`` comments cut."""
-    lines = F.split(sql, "\n")
     per_line = F.transform(
-        lines,
+        F.split(sql, "\n"),
         lambda text, n: F.transform(
             F.filter(F.split(F.regexp_replace(text, "--.*$", ""), r"[\s\p{Z}(),;]+"), lambda w: w != ""),
             lambda w: F.struct(w.alias("word"), (n + 1).cast("bigint").alias("line")),
@@ -22,55 +28,73 @@ def sql_words(sql: Column) -> Column:
     return F.flatten(per_line)
 
 
-def _at(words: Column, n: Column) -> Column:
-    return F.coalesce(F.lower(F.get(words, n)["word"]), F.lit(""))
+def with_keywords(df: DataFrame, sql: str) -> DataFrame:
+    """``df`` with ``_words`` and ``_hits``: the words of a text and, for each keyword in it, what stands around it."""
+    words = df.withColumn("_words", sql_words(c(sql)))
+    places = F.filter(
+        F.transform("_words", lambda w, n: F.struct(F.lower(w["word"]).alias("key"), n.alias("n"), w["line"].alias("line"))),
+        lambda p: p["key"].isin(KEYWORDS),
+    )
+    near = lambda n: F.get("_words", n)["word"]
+    hits = F.transform(
+        "_places",
+        lambda p: F.struct(
+            p["key"].alias("key"), p["n"].alias("n"), p["line"].alias("line"),
+            F.when(p["n"] > 0, F.lower(near(p["n"] - 1))).otherwise("").alias("before"), near(p["n"] + 1).alias("next"),
+        ),
+    )
+    return words.withColumn("_places", places).withColumn("_hits", hits).drop("_places")
 
 
-def adjacent_words(words: Column, first: str, second: str) -> Column:
-    """Whether the two words follow each other anywhere."""
-    return F.exists(_indexes(words), lambda n: (_at(words, n) == first) & (_at(words, n + 1) == second))
+def _locked() -> Column:
+    return F.exists("_hits", lambda h: (h["key"] == "skip") & (F.coalesce(F.lower(h["next"]), F.lit("")) == "locked"))
 
 
-def _indexes(words: Column) -> Column:
-    return F.when(F.size(words) > 1, F.sequence(F.lit(0), F.size(words) - 2)).otherwise(F.array().cast("array<int>"))
+def skips_locked(df: DataFrame, sql: str, name: str = "locked") -> DataFrame:
+    """``df`` with whether ``skip`` is followed by ``locked`` anywhere in a text."""
+    return with_keywords(df, sql).withColumn(name, _locked()).drop("_words", "_hits")
 
 
-def sql_touches(words: Column) -> Column:
-    """array<struct<table, access, inserts, dequeues>>, sorted by table; a write beats a read.
+def sql_touches(df: DataFrame, sql: str) -> DataFrame:
+    """``df`` without the text, one row per table it touches: (…, table, access, inserts, dequeues); a write beats a read."""
+    rest = [n for n in df.columns if n != sql]
 
-    ``words`` comes from :func:`sql_words`.
-    """
-    def uses(n: Column) -> Column:
-        here, before = _at(words, n), F.when(n > 0, _at(words, n - 1)).otherwise(F.lit(""))
-        writes = ((here == "from") & (before == "delete")) | (here == "into") | ((here == "update") & (before != "for"))
-        reads = here.isin("from", "join") & ~writes
-        table = F.when(reads | writes, table_name(F.get(words, n + 1)["word"]))
+    def use(h: Column) -> Column:
+        writes = ((h["key"] == "from") & (h["before"] == "delete")) | (h["key"] == "into") | ((h["key"] == "update") & (h["before"] != "for"))
+        reads = h["key"].isin("from", "join") & ~writes
         return F.struct(
-            table.alias("table"), F.when(writes, "write").otherwise("read").alias("access"), (here == "into").alias("inserts")
+            F.when(reads | writes, table_name(h["next"])).alias("table"), writes.alias("writes"), (h["key"] == "into").alias("inserts")
         )
 
-    found = F.filter(F.transform(_indexes(words), uses), lambda u: u["table"].isNotNull() & ~u["table"].isin(fixed.NOT_TABLES))
-    tables = F.array_sort(F.array_distinct(F.transform(found, lambda u: u["table"])))
-    locked = adjacent_words(words, "skip", "locked")
-    return F.transform(
+    found = F.filter(
+        F.transform(F.filter("_hits", lambda h: h["next"].isNotNull()), use),
+        lambda u: u["table"].isNotNull() & ~u["table"].isin(fixed.NOT_TABLES),
+    )
+    tables = F.array_distinct(F.transform("_found", lambda u: u["table"]))
+    touched = F.transform(
         tables,
         lambda t: F.struct(
             t.alias("table"),
-            F.when(F.exists(found, lambda u: (u["table"] == t) & (u["access"] == "write")), "write").otherwise("read").alias("access"),
-            F.exists(found, lambda u: (u["table"] == t) & u["inserts"]).alias("inserts"),
-            locked.alias("dequeues"),
+            F.when(F.exists("_found", lambda u: (u["table"] == t) & u["writes"]), "write").otherwise("read").alias("access"),
+            F.exists("_found", lambda u: (u["table"] == t) & u["inserts"]).alias("inserts"),
         ),
     )
+    staged = with_keywords(df, sql).select(*rest, found.alias("_found"), _locked().alias("dequeues"))
+    return staged.select(*rest, "dequeues", F.inline(touched)).select(*rest, "table", "access", "inserts", "dequeues")
 
 
-def created_tables(words: Column) -> Column:
-    """array<struct<table, line>> of ``CREATE TABLE [IF NOT EXISTS] name``, in order."""
-    optional = ["if", "not", "exists"]
-    starts = F.filter(_indexes(words), lambda n: (_at(words, n) == "create") & (_at(words, n + 1) == "table") & (n + 2 < F.size(words)))
+def created_tables(df: DataFrame, sql: str) -> DataFrame:
+    """``df`` without the text, one row per ``CREATE TABLE [IF NOT EXISTS] name``: (…, table, line)."""
+    rest = [n for n in df.columns if n != sql]
+    starts = F.filter(
+        "_hits",
+        lambda h: (h["key"] == "create") & (F.lower(F.coalesce(h["next"], F.lit(""))) == "table") & (h["n"] + 2 < F.size("_words")),
+    )
 
-    def made(n: Column) -> Column:
-        rest = F.slice(words, n + 3, F.size(words))
-        name = F.get(F.filter(rest, lambda w: ~F.lower(w["word"]).isin(optional)), F.lit(0))
-        return F.struct(table_name(name["word"]).alias("table"), F.get(words, n)["line"].alias("line"))
+    def made(h: Column) -> Column:
+        after = F.slice("_words", h["n"] + 3, F.size("_words"))
+        name = F.get(F.filter(after, lambda w: ~F.lower(w["word"]).isin("if", "not", "exists")), F.lit(0))
+        return F.struct(table_name(name["word"]).alias("table"), h["line"].alias("line"))
 
-    return F.filter(F.transform(starts, made), lambda m: m["table"].isNotNull())
+    named = F.filter(F.transform(starts, made), lambda m: m["table"].isNotNull())
+    return with_keywords(df, sql).select(*rest, F.inline(named))

@@ -305,24 +305,24 @@ def topological_layers(
         deps.join(ids.withColumnRenamed("id", "depends_on"), [*keys, "depends_on"], "left_anti")
         .groupBy(*keys, "id").agg(F.min("depends_on").alias("_unknown"))
     )
+    wanted = materialize(deps.groupBy(*keys, "id").agg(F.count(F.lit(1)).alias("_wanted")), "wanted")
     schema = ids.withColumn("layer", F.lit(1).cast("bigint")).schema
-    todo, unmet, n, paths = materialize(ids, "nodes"), deps, 0, []
+    first = ids.join(wanted, [*keys, "id"], "left_anti").withColumn("layer", F.lit(1).cast("bigint"))
+    first.write.parquet(f"{base}/layer=1")
+    paths = [f"{base}/layer=1"]
     while True:
-        n += 1
-        blocked = unmet.select(*keys, "id").distinct()
-        ready = todo.join(blocked, [*keys, "id"], "left_anti").withColumn("layer", F.lit(n).cast("bigint"))
-        path = f"{base}/layer={n}"
-        ready.write.parquet(path)
-        ready = spark.read.schema(schema).parquet(path)
-        if ready.isEmpty():
+        # A node is ready when as many of its dependencies are placed as it has, one of them in the newest layer.
+        placed = spark.read.schema(schema).parquet(*paths).select(*keys, F.col("id").alias("depends_on"))
+        newest = spark.read.schema(schema).parquet(paths[-1]).select(*keys, F.col("id").alias("depends_on"))
+        if newest.isEmpty():
             break
+        met = deps.join(deps.join(newest, [*keys, "depends_on"], "left_semi").select(*keys, "id").distinct(), [*keys, "id"], "left_semi")
+        counted = met.join(placed, [*keys, "depends_on"], "left_semi").groupBy(*keys, "id").agg(F.count(F.lit(1)).alias("_met"))
+        ready = counted.join(wanted, [*keys, "id"]).filter(F.col("_met") == F.col("_wanted"))
+        path = f"{base}/layer={len(paths) + 1}"
+        ready.select(*keys, "id", F.lit(len(paths) + 1).cast("bigint").alias("layer")).write.parquet(path)
         paths.append(path)
-        done = ready.select(*keys, "id")
-        todo = materialize(todo.join(done, [*keys, "id"], "left_anti"), "nodes")
-        unmet = materialize(
-            unmet.join(done.withColumnRenamed("id", "depends_on"), [*keys, "depends_on"], "left_anti"), "deps"
-        )
-    layers = spark.read.schema(schema).parquet(*paths) if paths else ids.limit(0).withColumn("layer", F.lit(1).cast("bigint"))
+    layers = spark.read.schema(schema).parquet(*paths)
     error = F.when(F.col("layer").isNull(), F.coalesce(
         F.concat(F.lit("depends on unknown "), F.col("_unknown").cast("string")), F.lit("on or behind a cycle")))
     return (

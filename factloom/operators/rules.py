@@ -11,6 +11,7 @@ from factloom import fixed
 from factloom.functions import columns as C
 from factloom.operators.ordered import KEYS
 from factloom.operators.placement import place_files
+from factloom.session import materialize
 
 EXTERNALS = "externals"
 
@@ -61,7 +62,8 @@ def rule_links(
     keys: Sequence[str] = KEYS,
 ) -> DataFrame:
     """The links a rule can read: no test links, from a known placed item outside test code, into another area."""
-    placed = place_files(items, areas, keys)
+    # Read at both ends of the links; written once, its real size decides whether it is broadcast.
+    placed = materialize(place_files(items, areas, keys), "placed")
     near = (
         items.filter(C.non_test(F.col("cfg")))
         .join(placed, [*keys, "file"])
@@ -111,7 +113,8 @@ def rule_verdicts(areas: DataFrame, rules: DataFrame) -> DataFrame:
 
 def broken_rules(linked: DataFrame, areas: DataFrame, rules: DataFrame, allows: DataFrame) -> DataFrame:
     """Findings: one per rule-link and rule it breaks, with the allow that covers it."""
-    verdicts = rule_verdicts(areas, rules)
+    # Policy rows only. Written first, so that Spark sees how few they are and need not shuffle the links for them.
+    verdicts = materialize(rule_verdicts(areas, rules), "verdicts")
     same = lambda c: linked[c].eqNullSafe(verdicts[c])
     on = (
         (linked["repo"] == verdicts["repo"])

@@ -51,12 +51,12 @@ def _(i):
 @query("sql_touches", """
 SELECT t.doc_id, t."table", t.access, t.inserts, EXISTS (SELECT 1 FROM v_words w WHERE w.doc_id = t.doc_id AND w.w = 'skip' AND lower(w.nxt) = 'locked') AS dequeues FROM v_touches t""")
 def _(i):
-    return i.v_sql.withColumn("words", Q.sql_words(c("sql"))).select("doc_id", F.inline(Q.sql_touches(c("words"))))
+    return Q.sql_touches(i.v_sql, "sql")
 
 
 @query("adjacent_words", "SELECT doc_id, bool_or(w = 'skip' AND lower(nxt) = 'locked') AS locked FROM v_words GROUP BY doc_id")
 def _(i):
-    return i.v_sql.withColumn("words", Q.sql_words(c("sql"))).select("doc_id", F.coalesce(Q.adjacent_words(c("words"), "skip", "locked"), F.lit(False)).alias("locked"))
+    return Q.skips_locked(i.v_sql, "sql").select("doc_id", "locked")
 
 
 @query("created_tables", r"""
@@ -64,7 +64,7 @@ SELECT a.doc_id, lower(regexp_replace(list_last(string_split(n.word, '.')), '^["
 JOIN LATERAL (SELECT word FROM v_words b WHERE b.doc_id = a.doc_id AND b.pos >= a.pos + 2 AND b.w NOT IN ('if', 'not', 'exists') ORDER BY b.pos LIMIT 1) n ON true
 WHERE a.w = 'create' AND lower(a.nxt) = 'table'""")
 def _(i):
-    return i.v_sql.withColumn("words", Q.sql_words(c("sql"))).select("doc_id", F.inline(Q.created_tables(c("words"))))
+    return Q.created_tables(i.v_sql, "sql")
 
 
 # ---------------------------------------------------------------- pages

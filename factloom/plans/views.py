@@ -212,7 +212,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if made not in _STORED:
         df = spark_sql(spark, sf_dir, f"SELECT * FROM {name}")
         _STORED[made] = (scratch_path(spark, name), df.schema)
-        df.write.parquet(_STORED[made][0])
+        # Spread evenly: the given tables are single files, and their views should be read by all cores.
+        df.repartition(spark.sparkContext.defaultParallelism).write.parquet(_STORED[made][0])
     path, schema = _STORED[made]
     return spark.read.schema(schema).parquet(path)
 

@@ -13,6 +13,10 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # Parquet of repeated strings is many times smaller on disk than in memory; broadcasts are decided on the latter.
+    "spark.sql.sources.fileCompressionFactor": "8.0",
+    # Joins whose shuffled side is small in every partition hash it instead of sorting both sides.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
 }
 
 
