@@ -59,17 +59,24 @@ def route_ports(routes: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 
 def queue_tables(created: DataFrame, sql: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Created tables with who inserts and dequeues, both null unless someone dequeues.
+    """Created tables with ``queue``: whether some function dequeues from them.
 
-    created (keys, name, file, line); sql (keys, owner, table, inserts, dequeues). Owners of one table are distinct
-    functions of one repo.
+    created (keys, name, file, line); sql (keys, owner, table, inserts, dequeues).
     """
-    who = lambda flag: F.array_sort(F.collect_set(F.when(F.col(flag), F.col("owner"))))
-    uses = sql.groupBy(*keys, F.col("table").alias("name")).agg(who("inserts").alias("_in"), who("dequeues").alias("_de"))
-    used = F.size("_de") > 0
-    return created.join(uses, [*keys, "name"], "left").select(
-        *keys, "name", "file", "line", F.when(used, F.col("_in")).alias("inserters"), F.when(used, F.col("_de")).alias("dequeuers")
-    )
+    dequeued = sql.filter("dequeues").select(*keys, F.col("table").alias("name")).distinct().withColumn("_q", F.lit(True))
+    return created.join(dequeued, [*keys, "name"], "left").select(
+        *keys, "name", "file", "line", F.coalesce("_q", F.lit(False)).alias("queue"))
+
+
+def queue_users(created: DataFrame, sql: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """(keys, name, role, owner): who inserts into and who dequeues from the queue tables, each once.
+
+    Rows and not lists: a table every function writes to stays spread out.
+    """
+    queues = queue_tables(created, sql, keys).filter("queue").select(*keys, "name").distinct()
+    roles = F.array_compact(F.array(F.when(F.col("inserts"), "inserter"), F.when(F.col("dequeues"), "dequeuer")))
+    uses = sql.select(*keys, F.col("table").alias("name"), "owner", F.explode(roles).alias("role"))
+    return uses.join(queues, [*keys, "name"], "left_semi").select(*keys, "name", "role", "owner").distinct()
 
 
 def queue_inserters(sql: DataFrame, links: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

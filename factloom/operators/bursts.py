@@ -104,14 +104,9 @@ def rescan(changes: DataFrame, notices: DataFrame, listing: DataFrame) -> DataFr
 
     changes (worktree, path); notices (worktree?); listing (worktree, path).
     """
-    named = notices.filter(c("worktree").isNotNull()).select("worktree").distinct()
-    every = notices.agg(F.bool_or(c("worktree").isNull()).alias("_all"))
-    trees = listing.select("worktree").distinct()
-    # One row says whether a notice concerns all; it is joined to the few worktrees.
-    wide = trees.join(F.broadcast(every.filter("_all")).withColumn("_k", F.lit(1)), F.lit(1) == c("_k")).select("worktree")
-    hit = named.unionByName(wide).distinct()
-    found = listing.join(hit, "worktree", "left_semi").select("worktree", "path")
-    return changes.select("worktree", "path").unionByName(found).distinct()
+    if notices.filter(c("worktree").isNull()).isEmpty():
+        listing = listing.join(notices.select("worktree").distinct(), "worktree", "left_semi")
+    return changes.select("worktree", "path").unionByName(listing.select("worktree", "path")).distinct()
 
 
 def removed_or_changed(batch: DataFrame, listing: DataFrame) -> DataFrame:

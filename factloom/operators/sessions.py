@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom import fixed
@@ -269,19 +269,23 @@ def review_descriptions(
 # ---------------------------------------------------------------- files of a session
 
 
-def archive_sessions(files: DataFrame, keys: Sequence[str] = SESSION) -> DataFrame:
-    """One row per session holding its files sorted by path. files (keys, path, content): a session's own folder."""
-    return files.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("path", "content"))).alias("files"))
+def archive_sessions(files: DataFrame, path: str, keys: Sequence[str] = SESSION) -> None:
+    """Write each session's files to a folder of its own, sorted by path. files (keys, path, content).
+
+    Sorted in ranges: a session with very many files is several pack files in name order, never one long row.
+    """
+    ordered = files.select(*keys, "path", "content").repartitionByRange(*keys, "path").sortWithinPartitions(*keys, "path")
+    ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
-def restore_sessions(archive: DataFrame, keys: Sequence[str] = SESSION) -> DataFrame:
-    return archive.select(*keys, F.inline("files"))
+def restore_sessions(spark: SparkSession, path: str) -> DataFrame:
+    """The files of archived sessions: (session, path, content)."""
+    return spark.read.schema("path string,content string,session string").parquet(path)
 
 
-def replace_file(archive: DataFrame, path: str, content: Column) -> DataFrame:
-    """The archive with one file's content replaced wherever it is held."""
-    swapped = F.transform("files", lambda f: F.struct(f["path"].alias("path"), F.when(f["path"] == path, content).otherwise(f["content"]).alias("content")))
-    return archive.withColumn("files", swapped)
+def replace_file(files: DataFrame, path: str, content: Column) -> DataFrame:
+    """Files with one path's content replaced wherever it is held."""
+    return files.withColumn("content", F.when(c("path") == path, content).otherwise(c("content")))
 
 
 def append_after(old: DataFrame, new: DataFrame, order: Sequence[str], chunk: Column, keys: Sequence[str] = SESSION) -> DataFrame:

@@ -158,13 +158,18 @@ SELECT DISTINCT repo, tree_key, top || CAST(pos % 9 AS STRING) AS name, 'migrati
 
 
 @query("queue_tables", """
-SELECT t.repo, t.name, t.file, t.line,
-  CASE WHEN bool_or(coalesce(s.dequeues, false)) THEN string_agg(DISTINCT CASE WHEN s.inserts THEN s.owner END, ',' ORDER BY CASE WHEN s.inserts THEN s.owner END) END AS inserters,
-  CASE WHEN bool_or(coalesce(s.dequeues, false)) THEN string_agg(DISTINCT CASE WHEN s.dequeues THEN s.owner END, ',' ORDER BY CASE WHEN s.dequeues THEN s.owner END) END AS dequeuers
-FROM v_created t LEFT JOIN v_sql_notes s ON s.repo = t.repo AND s."table" = t.name GROUP BY t.repo, t.name, t.file, t.line""")
+SELECT t.repo, t.name, t.file, t.line, EXISTS (SELECT 1 FROM v_sql_notes s WHERE s.repo = t.repo AND s."table" = t.name AND s.dequeues) AS queue FROM v_created t""")
 def _(i):
-    joined = lambda n: F.array_join(n, ",").alias(n)
-    return assemble.queue_tables(i.v_created, i.v_sql_notes).select("repo", "name", "file", "line", joined("inserters"), joined("dequeuers"))
+    return assemble.queue_tables(i.v_created, i.v_sql_notes).drop("tree_key")
+
+
+@query("queue_users", """
+SELECT DISTINCT s.repo, s."table" AS name, r.role, s.owner FROM v_sql_notes s JOIN (VALUES ('inserter'), ('dequeuer')) AS r(role)
+  ON CASE r.role WHEN 'inserter' THEN s.inserts ELSE s.dequeues END
+WHERE EXISTS (SELECT 1 FROM v_created t WHERE t.repo = s.repo AND t.name = s."table")
+  AND EXISTS (SELECT 1 FROM v_sql_notes d WHERE d.repo = s.repo AND d."table" = s."table" AND d.dequeues)""")
+def _(i):
+    return assemble.queue_users(i.v_created, i.v_sql_notes).drop("tree_key")
 
 
 VIEWS["v_table_links"] = """

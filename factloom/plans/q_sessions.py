@@ -393,8 +393,10 @@ SELECT session, 'turn-' || CAST(seq AS STRING) AS path, CASE WHEN seq = 0 THEN '
 def _(i):
     files = i.v_thread.select("session", F.concat(F.lit("turn-"), c("seq").cast("string")).alias("path"), c("text").alias("content"))
     path = scratch_path(i.spark, "archive")
-    S.archive_sessions(files).write.parquet(path)
-    return S.restore_sessions(S.replace_file(i.spark.read.parquet(path), "turn-0", F.lit("replaced")))
+    S.archive_sessions(files, path)
+    again = scratch_path(i.spark, "archive")
+    S.archive_sessions(S.replace_file(S.restore_sessions(i.spark, path), "turn-0", F.lit("replaced")), again)
+    return S.restore_sessions(i.spark, again)
 
 
 @query("append_thread", """

@@ -7,22 +7,27 @@ from pyspark.sql import functions as F
 
 from factloom import schemas
 from factloom.functions import columns as C
+from factloom.operators.ordered import numbered
 
 c = F.col
 
 
-def numbered_lines(texts: DataFrame) -> DataFrame:
-    """(session, line, value): whole files cut into lines counted from 1. texts (session, content)."""
-    return texts.select("session", F.posexplode(F.split("content", "\n")).alias("_n", "value")).select(
-        "session", (c("_n") + 1).cast("bigint").alias("line"), "value")
+def numbered_lines(spark: SparkSession, path: str, session: str = r"session=([^/]*)/") -> DataFrame:
+    """(session, line, value): the lines of one log file per session, counted from 1; ``session`` finds it in the path.
+
+    Large files are read in blocks. A line's place is its block and its order in the block's task, and the numbers come
+    from the counts of the blocks before, so no file is held whole.
+    """
+    lines = spark.read.format("text").option("recursiveFileLookup", True).load(path).select(
+        F.regexp_extract("_metadata.file_path", session, 1).alias("session"), c("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"), "value")
+    return numbered(lines, ["session"], ["block", "at"], c("block"), "line").select("session", "line", "value")
 
 
 def read_thread(spark: SparkSession, path: str) -> DataFrame:
-    """Thread entries of ``<path>/<session>/thread.jsonl`` files: (session, pos, kind, …); blank lines are skipped, a line
-    that is no entry fails the read and names its number. A thread is one session's own log file."""
-    texts = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(path).select(
-        F.regexp_extract(F.input_file_name(), r"session=([^/]*)/", 1).alias("session"), c("value").alias("content"))
-    return parse_thread(numbered_lines(texts))
+    """Thread entries of ``<path>/session=<id>/`` logs: (session, pos, kind, …); blank lines are skipped, a line that is no
+    entry fails the read and names its number."""
+    return parse_thread(numbered_lines(spark, path))
 
 
 def parse_thread(lines: DataFrame) -> DataFrame:
