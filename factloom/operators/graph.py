@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from factloom.operators.ordered import KEYS
@@ -32,14 +32,16 @@ def frontier(
     base = scratch_path(spark, label)
     names, schema = seed.columns, seed.schema
 
-    def save(df: DataFrame, n: int) -> DataFrame:
-        df.write.parquet(f"{base}/round={n}")
-        return spark.read.schema(schema).parquet(f"{base}/round={n}")
+    def save(df: DataFrame, n: int) -> tuple[DataFrame, int]:
+        # The write itself counts its rows; no second job asks whether there were any.
+        counted = Observation()
+        df.observe(counted, F.count(F.lit(1)).alias("rows")).write.parquet(f"{base}/round={n}")
+        return spark.read.schema(schema).parquet(f"{base}/round={n}"), counted.get["rows"]
 
     paths = [f"{base}/round=0"]
-    fresh = save(seed.dropDuplicates(list(on)), 0)
+    fresh, rows = save(seed.dropDuplicates(list(on)), 0)
     done = 0
-    while (max_rounds is None or done < max_rounds) and not fresh.isEmpty():
+    while rows and (max_rounds is None or done < max_rounds):
         found, newest = None, fresh
         for _ in range(hops if max_rounds is None else min(hops, max_rounds - done)):
             newest = step(newest).select(*names)
@@ -48,7 +50,7 @@ def frontier(
             done += 1
         seen = spark.read.schema(schema).parquet(*paths)
         new = found.dropDuplicates(list(on)).join(seen, list(on), "left_anti")
-        fresh = save(new, len(paths))
+        fresh, rows = save(new, len(paths))
         paths.append(f"{base}/round={len(paths)}")
     return spark.read.schema(schema).parquet(*paths)
 
@@ -58,19 +60,28 @@ def _edges(edges: DataFrame, keys: Sequence[str], *more: str) -> DataFrame:
 
 
 def reachable(
-    edges: DataFrame, starts: DataFrame, keys: Sequence[str] = KEYS, hops: int = 4, label: str = "reachable"
+    edges: DataFrame,
+    starts: DataFrame,
+    keys: Sequence[str] = KEYS,
+    hops: int = 4,
+    carry: Sequence[str] = (),
+    label: str = "reachable",
 ) -> DataFrame:
-    """Nodes reached from any of ``starts`` (keys, node) along edges (keys, from, to), the starts included."""
+    """Nodes reached from any of ``starts`` (keys, carry, node) along edges (keys, from, to), the starts included.
+
+    Starts that differ in ``carry`` are followed side by side in the same rounds.
+    """
     links = materialize(_edges(edges, keys), label + "-edges")
+    columns = [*keys, *carry]
 
     def step(fresh: DataFrame) -> DataFrame:
         return (
             fresh.withColumnRenamed("node", "_from")
             .join(links, [*keys, "_from"])
-            .select(*keys, F.col("_to").alias("node"))
+            .select(*columns, F.col("_to").alias("node"))
         )
 
-    return frontier(starts.select(*keys, "node"), step, [*keys, "node"], hops=hops, label=label)
+    return frontier(starts.select(*columns, "node"), step, [*columns, "node"], hops=hops, label=label)
 
 
 def closure(
@@ -259,9 +270,10 @@ def spawned_workers(
     test_ids = tests.select(*keys, "id").distinct()
     mains = items.filter(F.col("entry")).select(*keys, "id").join(test_ids, [*keys, "id"], "left_anti")
     roots = entries.select(*keys, "id").distinct().join(test_ids, [*keys, "id"], "left_anti")
-    node = lambda d: d.select(*keys, F.col("id").alias("node"))
-    from_main = reachable(calls, node(mains), keys, label="from-main")
-    from_entries = reachable(calls, node(roots), keys, label="from-entries")
+    tagged = lambda d, tag: d.select(*keys, F.lit(tag).alias("_of"), F.col("id").alias("node"))
+    both = reachable(calls, tagged(mains, "main").unionByName(tagged(roots, "entry")), keys, carry=["_of"], label="from-entries")
+    from_main = both.filter(F.col("_of") == "main").drop("_of")
+    from_entries = both.filter(F.col("_of") == "entry").drop("_of")
     in_test = F.coalesce(F.col("cfg").contains("test"), F.lit(False))
     plain = items.filter(~in_test).select(*keys, "id").join(test_ids, [*keys, "id"], "left_anti")
     called = from_entries.withColumnRenamed("node", "id").join(roots, [*keys, "id"], "left_anti")
@@ -308,20 +320,24 @@ def topological_layers(
     wanted = materialize(deps.groupBy(*keys, "id").agg(F.count(F.lit(1)).alias("_wanted")), "wanted")
     schema = ids.withColumn("layer", F.lit(1).cast("bigint")).schema
     first = ids.join(wanted, [*keys, "id"], "left_anti").withColumn("layer", F.lit(1).cast("bigint"))
-    first.write.parquet(f"{base}/layer=1")
+
+    def save(df: DataFrame, n: int) -> int:
+        counted = Observation()
+        df.observe(counted, F.count(F.lit(1)).alias("rows")).write.parquet(f"{base}/layer={n}")
+        return counted.get["rows"]
+
+    rows = save(first, 1)
     paths = [f"{base}/layer=1"]
-    while True:
+    while rows:
         # A node is ready when as many of its dependencies are placed as it has, one of them in the newest layer.
         placed = spark.read.schema(schema).parquet(*paths).select(*keys, F.col("id").alias("depends_on"))
         newest = spark.read.schema(schema).parquet(paths[-1]).select(*keys, F.col("id").alias("depends_on"))
-        if newest.isEmpty():
-            break
         met = deps.join(deps.join(newest, [*keys, "depends_on"], "left_semi").select(*keys, "id").distinct(), [*keys, "id"], "left_semi")
         counted = met.join(placed, [*keys, "depends_on"], "left_semi").groupBy(*keys, "id").agg(F.count(F.lit(1)).alias("_met"))
         ready = counted.join(wanted, [*keys, "id"]).filter(F.col("_met") == F.col("_wanted"))
-        path = f"{base}/layer={len(paths) + 1}"
-        ready.select(*keys, "id", F.lit(len(paths) + 1).cast("bigint").alias("layer")).write.parquet(path)
-        paths.append(path)
+        layer = len(paths) + 1
+        rows = save(ready.select(*keys, "id", F.lit(layer).cast("bigint").alias("layer")), layer)
+        paths.append(f"{base}/layer={layer}")
     layers = spark.read.schema(schema).parquet(*paths)
     error = F.when(F.col("layer").isNull(), F.coalesce(
         F.concat(F.lit("depends on unknown "), F.col("_unknown").cast("string")), F.lit("on or behind a cycle")))
