@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import jaccard, quality, substrings
+from factloom.llm import jaccard, quality, substrings, templates
 from factloom.session import configure
 
 ORACLES: dict[str, str] = {}
@@ -30,4 +30,9 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op7_quality_rules, op8_ngram_jaccard, op9_substring_dedup)}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = templates.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select(F.col("id").alias("doc_id"), "item_id", "n_words", "n_covered", "n_slots", "n_changed")
+
+
+QUERIES = {f.__name__: f for f in (op7_quality_rules, op8_ngram_jaccard, op9_substring_dedup, op10_decontamination)}
