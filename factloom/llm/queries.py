@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import jaccard, quality, substrings, templates
+from factloom.llm import jaccard, packing, quality, substrings, templates
 from factloom.session import configure
 
 ORACLES: dict[str, str] = {}
@@ -15,6 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return rows.select(
+        F.col("id").alias("doc_id"), "start", "length", F.col("crc").alias("ids_crc32"), F.col("n_tokens").alias("doc_tokens"),
+        F.col("sequence").alias("sequence_id"), F.col("place").alias("offset"),
+    )
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.judge(table(spark, sf_dir, "documents"))
     return rows.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -35,4 +44,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "item_id", "n_words", "n_covered", "n_slots", "n_changed")
 
 
-QUERIES = {f.__name__: f for f in (op7_quality_rules, op8_ngram_jaccard, op9_substring_dedup, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op6_packing, op7_quality_rules, op8_ngram_jaccard, op9_substring_dedup, op10_decontamination)}
