@@ -1,15 +1,15 @@
 """Exact substring deduplication over a compacted de Bruijn graph of the corpus.
 
-A text's nodes are token k-mers, those that are smallest by hash in some window of ``size`` words (k is half a window
-and one word, so each window has a node of its own and neighbouring nodes overlap or touch). Its edges are the
-stretches of words from one node to the next, each with a hash of all its words. ``nodes`` counts them over the corpus.
+A text's nodes are token k-mers, those that are smallest by hash in some window of ``size`` words (k is a third of a
+window, so each window has a node of its own). Its edges are the stretches of words from one node to the next, each with
+a 64-bit hash of all its words. ``nodes`` counts them over the corpus.
 An edge is nonbranching if every occurrence of its first node goes on with it and every occurrence of its last node
 comes from it; joins of the nodes' only out-edges with the nodes' only in-edges find these. A maximal run of such
 edges is a compacted path: its words are the same at each occurrence, so each window inside a repeated path is repeated.
 Windows that hold a repeated node but reach out of its path are verified at their source coordinates: their 128-bit
 hashes are counted. Windows without a repeated node are unique and go no further.
 
-Texts go through two shuffles: those that hold a repeated node, and all for the result. A node or window that a third
+Texts go through two shuffles, compressed: those that hold a repeated node, and all for the result. A node or window that a third
 of all documents share is counted with a combine before the shuffle; joins back are left to adaptive skew splitting.
 
 Defined cases: null text is empty, n_words and n_removed are 0; a text shorter than a window loses nothing; repeated
@@ -24,6 +24,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,9 +35,28 @@ SIZE = 35
 _EDGE_BASE, _CHECK_BASE = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
 
 
+def _k(size: int) -> int:
+    """Words of a node."""
+    return size // 3 + 1
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts compressed, for the way through a shuffle."""
+    pack = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        at = batch.schema.get_field_index("text")
+        bodies = [None if x is None else pack.compress(x.encode()) for x in batch.column(at).to_pylist()]
+        yield batch.set_column(at, "body", pa.array(bodies, pa.binary()))
+
+
+def _unpack(column: pa.Array) -> list[bytes]:
+    unpack = zstandard.ZstdDecompressor()
+    return [b"" if x is None else unpack.decompress(x) for x in column.to_pylist()]
+
+
 def _graph(words: W.Words, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Window starts, each window's node (position of its smallest k-mer), the k-mers' hashes, and the nodes in order."""
-    k = size // 2 + 1
+    k = _k(size)
     at = W.windows(words.first, size)
     if not len(at):
         return at, at, np.zeros(0, np.uint64), at
@@ -58,7 +78,7 @@ def _edges(hashes: np.ndarray, nodes: np.ndarray, text: np.ndarray, k: int) -> n
 def _occurrences(batches: Iterator[pa.RecordBatch], size: int, placed: bool) -> Iterator[pa.RecordBatch]:
     """Every node of every text: with its place, or with the edges that come in and go out."""
     for batch in batches:
-        k1, k2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "k2"))
+        key = batch.column("key").to_numpy(zero_copy_only=False)
         for lo, _, data, offsets in W.chunks(batch.column("text")):
             w = W.Words(data, offsets)
             hashes = w.hashes(data)
@@ -66,9 +86,9 @@ def _occurrences(batches: Iterator[pa.RecordBatch], size: int, placed: bool) ->
             text = W.owners(w.first, nodes)
             columns = {"node": kmers[nodes].view(np.int64)}
             if placed:
-                columns |= {"k1": k1[lo + text], "k2": k2[lo + text], "at": (nodes - w.first[text]).astype(np.int32)}
+                columns |= {"key": key[lo + text], "at": (nodes - w.first[text]).astype(np.int32)}
             else:
-                out = _edges(hashes, nodes, text, size // 2 + 1).view(np.int64)
+                out = _edges(hashes, nodes, text, _k(size)).view(np.int64)
                 into = np.zeros_like(out)
                 into[1:] = out[:-1]
                 columns |= {"into": into, "out": out}
@@ -77,9 +97,9 @@ def _occurrences(batches: Iterator[pa.RecordBatch], size: int, placed: bool) ->
 
 def _spans(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """For each text its windows inside repeated paths, as ranges of starts, and the windows to verify."""
-    k = size // 2 + 1
+    k = _k(size)
     for batch in batches:
-        for lo, hi, data, offsets in W.chunks(batch.column("text")):
+        for lo, hi, data, offsets in W.chunks(pa.array(_unpack(batch.column("body")), pa.large_binary())):
             part = batch.slice(lo, hi - lo)
             w = W.Words(data, offsets)
             hashes = w.hashes(data)
@@ -105,23 +125,23 @@ def _spans(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBa
             sure_text = W.owners(w.first, sure)
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column("k1"), part.column("k2"),
+                    part.column("key"),
                     W.lists(sure - w.first[sure_text], np.bincount(sure_text, minlength=hi - lo), pa.int32()),
                     W.lists(check - w.first[text], np.bincount(text, minlength=hi - lo), pa.int32()),
                     W.lists(W.window_hashes(hashes, check, size).view(np.int64), np.bincount(text, minlength=hi - lo), pa.int64()),
                     W.lists(W.range_hashes(hashes, check, check + size, _CHECK_BASE).view(np.int64), np.bincount(text, minlength=hi - lo), pa.int64()),
                 ],
-                names=["k1", "k2", "sure", "at", "h1", "h2"],
+                names=["key", "sure", "at", "h1", "h2"],
             )
 
 
 def _kept(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts, removed, kept = [], [], []
-        columns = [batch.column(c) for c in ("text", "sure", "more")]
-        for i in range(len(batch)):
-            words = (columns[0][i].as_py() or "").encode().split()
-            starts = [x for c in columns[1:] if c[i].is_valid for x in (c[i].values.to_numpy(),) if len(x)]
+        columns = [batch.column(c) for c in ("sure", "more")]
+        for i, text in enumerate(_unpack(batch.column("body"))):
+            words = text.split()
+            starts = [x for c in columns if c[i].is_valid for x in (c[i].values.to_numpy(),) if len(x)]
             counts.append(len(words))
             if starts:
                 gone = W.covered(np.unique(np.concatenate(starts)), size, len(words))
@@ -134,12 +154,13 @@ def _kept(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").alias("id"), F.xxhash64("doc_id", "text").alias("k1"), F.hash("text", "doc_id").alias("k2"), "text")
+    """The rows with a key of id and text. Rows that are equal in both have one key, and lose the same words."""
+    return docs.select(F.col("doc_id").alias("id"), F.xxhash64("doc_id", "text").alias("key"), "text")
 
 
 def graph_nodes(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """(node, linked) of every repeated node; linked if its only out-edge is also the only in-edge of the next node."""
-    found = keyed(docs).select("k1", "k2", "text").mapInArrow(partial(_occurrences, size=size, placed=False), "node long, into long, out long")
+    found = keyed(docs).select("key", "text").mapInArrow(partial(_occurrences, size=size, placed=False), "node long, into long, out long")
     counted = found.groupBy("node").agg(
         F.count(F.lit(1)).alias("n"), F.min("into").alias("i"), F.max("into").alias("i2"), F.min("out").alias("o"), F.max("out").alias("o2")
     ).where("n > 1")
@@ -152,14 +173,15 @@ def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """(id, n_words, n_removed, kept) of each document; kept are the words that stay, joined by one space."""
     configure(docs.sparkSession)
     rows = keyed(docs)
-    placed = rows.select("k1", "k2", "text").mapInArrow(partial(_occurrences, size=size, placed=True), "node long, k1 long, k2 int, at int")
-    flagged = placed.join(graph_nodes(docs, size), "node").groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "linked")).alias("nodes"))
-    once = "k1 long, k2 int, sure array<int>, at array<int>, h1 array<long>, h2 array<long>"
-    spans = materialize(rows.select("k1", "k2", "text").join(flagged, ["k1", "k2"]).mapInArrow(partial(_spans, size=size), once), "spans")
-    checks = spans.select("k1", "k2", F.explode(F.arrays_zip("at", "h1", "h2")).alias("x")).select("k1", "k2", "x.*")
+    bodies = rows.mapInArrow(_pack, "id long, key long, body binary")
+    placed = rows.select("key", "text").mapInArrow(partial(_occurrences, size=size, placed=True), "node long, key long, at int")
+    flagged = placed.join(graph_nodes(docs, size), "node").groupBy("key").agg(F.collect_list(F.struct("at", "linked")).alias("nodes"))
+    once = "key long, sure array<int>, at array<int>, h1 array<long>, h2 array<long>"
+    spans = materialize(bodies.select("key", "body").join(flagged, "key").mapInArrow(partial(_spans, size=size), once), "spans")
+    checks = spans.select("key", F.explode(F.arrays_zip("at", "h1", "h2")).alias("x")).select("key", "x.*")
     again = checks.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    more = checks.join(again, ["h1", "h2"]).groupBy("k1", "k2").agg(F.collect_list("at").alias("more"))
+    more = checks.join(again, ["h1", "h2"]).groupBy("key").agg(F.collect_list("at").alias("more"))
     # Rows that are equal in id and text have equal spans.
-    sure = spans.groupBy("k1", "k2").agg(F.first("sure").alias("sure"))
-    gone = sure.join(more, ["k1", "k2"], "left").where("size(sure) > 0 OR more IS NOT NULL")
-    return rows.join(gone, ["k1", "k2"], "left").select("id", "text", "sure", "more").mapInArrow(partial(_kept, size=size), "id long, n_words long, n_removed long, kept string")
+    sure = spans.groupBy("key").agg(F.first("sure").alias("sure"))
+    gone = sure.join(more, "key", "left").where("size(sure) > 0 OR more IS NOT NULL")
+    return bodies.join(gone, "key", "left").select("id", "body", "sure", "more").mapInArrow(partial(_kept, size=size), "id long, n_words long, n_removed long, kept string")
