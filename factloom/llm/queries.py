@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import jaccard, packing, quality, substrings, templates
+from factloom.llm import jaccard, packing, quality, secret_scan, substrings, templates
 from factloom.session import configure
 
 ORACLES: dict[str, str] = {}
@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secret_scan.findings(table(spark, sf_dir, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_random")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return rows.select(
@@ -44,4 +49,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "item_id", "n_words", "n_covered", "n_slots", "n_changed")
 
 
-QUERIES = {f.__name__: f for f in (op6_packing, op7_quality_rules, op8_ngram_jaccard, op9_substring_dedup, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op6_packing, op7_quality_rules, op8_ngram_jaccard, op9_substring_dedup, op10_decontamination)}
