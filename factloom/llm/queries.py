@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import chat, jaccard, packing, quality, secret_scan, substrings, templates
+from factloom.llm import chat, jaccard, packing, quality, secret_scan, substrings, templates, warc
 from factloom.session import configure
 
 ORACLES: dict[str, str] = {}
@@ -21,6 +21,12 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_random")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.round_trip(table(spark, sf_dir, "pages"))
+    # A revisit has the digest alone. Both are of the full payload.
+    return rows.select("page_id", "payload_bytes", F.coalesce("own_digest", "digest").alias("payload_digest"), "record_type", "refers_to")
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     # A conversation whose texts hold the control strings of common templates.
@@ -57,4 +63,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "item_id", "n_words", "n_covered", "n_slots", "n_changed")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_chat_format, op6_packing, op7_quality_rules, op8_ngram_jaccard, op9_substring_dedup, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_warc, op3_chat_format, op6_packing, op7_quality_rules, op8_ngram_jaccard, op9_substring_dedup, op10_decontamination)}
