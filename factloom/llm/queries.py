@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import chat, jaccard, packing, quality, secret_scan, substrings, templates, warc
+from factloom.llm import chat, jaccard, packing, quality, secret_scan, substrings, templates, url_filter, warc
 from factloom.session import configure
 
 ORACLES: dict[str, str] = {}
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +36,11 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.conversations(rows, public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+    return rows.withColumnRenamed("id", "page_id")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return rows.select(
@@ -63,4 +69,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "item_id", "n_words", "n_covered", "n_slots", "n_changed")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_warc, op3_chat_format, op6_packing, op7_quality_rules, op8_ngram_jaccard, op9_substring_dedup, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_warc, op3_chat_format, op4_url_filter, op6_packing, op7_quality_rules, op8_ngram_jaccard, op9_substring_dedup, op10_decontamination)}
