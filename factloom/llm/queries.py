@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import chat, jaccard, packing, quality, secret_scan, substrings, templates, url_filter, warc
+from factloom.llm import chat, jaccard, packing, quality, secret_scan, substrings, templates, token_counts, url_filter, warc
 from factloom.session import configure
 
 ORACLES: dict[str, str] = {}
@@ -41,6 +41,11 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumnRenamed("id", "page_id")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = token_counts.count(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return rows.withColumnRenamed("id", "doc_id")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return rows.select(
@@ -69,4 +74,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "item_id", "n_words", "n_covered", "n_slots", "n_changed")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_warc, op3_chat_format, op4_url_filter, op6_packing, op7_quality_rules, op8_ngram_jaccard, op9_substring_dedup, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_warc, op3_chat_format, op4_url_filter, op5_token_counts, op6_packing, op7_quality_rules, op8_ngram_jaccard, op9_substring_dedup, op10_decontamination)}
