@@ -10,7 +10,7 @@ The global order of shingles is by document frequency, then by hash; hash ranges
 3. Pairs and segments meet fragment by fragment, each fragment counts its partial overlaps, and the sum per pair decides.
 
 Only the components are wanted, so a group of sets with a common prefix shingle is not expanded into all its pairs. Groups
-of up to ``SMALL`` sets are. In larger ones each set is first paired with a head and with neighbours by length, then sets
+of up to ``SMALL`` sets are. In larger ones each set is first paired with a head of its class of length, then sets
 outside the group's largest component are paired with some of it, and in the end every pair whose sides are still in
 different components is counted. So no link is lost, and a group of near copies costs a few pairs for each member.
 
@@ -39,8 +39,9 @@ PERCENT = 75
 SMALL = 16
 #: Members of a larger component that a set outside of it is paired with before the last round.
 PROBES = 6
-#: Shingles that a fragment holds about, and fragments in which overlaps are counted.
-FRAGMENT, OVERLAP_FRAGMENTS = 3_000_000, 8
+#: Shingles that a fragment holds about, and bits of the most fragments in which overlaps are counted; beyond these, sets
+#: are also dealt to blocks.
+FRAGMENT, OVERLAP_BITS = 4_000_000, 6
 _SHORT_BASE, _SET_BASE = 0x8EBC6AF09C88C6E3, np.uint64(0x589965CC75374CC3)
 
 
@@ -95,8 +96,26 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
     return np.concatenate((np.flatnonzero(new), [n]))
 
 
+def _fragments(values: np.ndarray, bits: int) -> np.ndarray:
+    """Fragment of each shingle: the top bits of its hash."""
+    return (values >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(values), np.int32)
+
+
+def _blobs(keys: np.ndarray, n: np.ndarray, cuts: np.ndarray, edges: np.ndarray, **values: np.ndarray) -> dict[str, pa.Array]:
+    """Rows of many segments: segment i has key keys[i], set size n[i] and the values edges[i] up to edges[i + 1]; row j has
+    the segments cuts[j] up to cuts[j + 1]."""
+    out = {"keys": _binaries(keys, cuts), "n": _binaries(n.astype(np.int32), cuts), "counts": _binaries(np.diff(edges).astype(np.int32), cuts)}
+    return out | {name: _binaries(x, edges[cuts]) for name, x in values.items()}
+
+
+_BLOBS = "keys binary, n binary, counts binary, shingles binary"
+
+
 def _segments(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """Each set's segments: the 48 bits below a shingle's fragment bits. A set goes out once from a task."""
+    """The segments of the sets of a chunk, a row per fragment: the 48 bits below a shingle's fragment bits.
+
+    A set goes out once from a task.
+    """
     seen: set[int] = set()
     for batch in batches:
         for _, _, data, offsets in W.chunks(batch.column("text")):
@@ -104,26 +123,26 @@ def _segments(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Recor
             fresh = np.array([bool(n) and (k not in seen and not seen.add(k)) for k, n in zip(keys.tolist(), counts.tolist(), strict=True)], bool)
             take = np.repeat(fresh, counts)
             values, keys, counts = values[take], keys[fresh], counts[fresh]
-            fragment = (values >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(values), np.int32)
+            fragment = _fragments(values, bits)
             owner = np.repeat(np.arange(len(keys)), counts)
-            edges = _runs(owner, fragment)
-            low = ((values << np.uint64(bits)) >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]
-            offs = pa.py_buffer((edges * 6).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(fragment[edges[:-1]]), pa.array(keys[owner[edges[:-1]]]), pa.array(counts[owner[edges[:-1]]].astype(np.int32)),
-                    pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, offs, pa.py_buffer(np.ascontiguousarray(low))]),
-                ],
-                names=["fragment", "key", "n", "shingles"],
-            )
-
-
-def _frequencies(table: pa.Table, bits: int) -> pa.Table:
-    """In one fragment: the shingles that more than one set holds, with a logarithmic class of their frequency."""
+            order = np.lexsort((owner, fragment))
+            values, owner, fragment = values[order], owner[order], fragment[order]
+            edges = _runs(fragment, owner)
+            first = edges[:-1]
+            cuts = _runs(fragment[first])
+            low = np.ascontiguousarray(((values << np.uint64(bits)) >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).view("V6").reshape(-1)
+            yield pa.RecordBatch.from_pydict({"fragment": pa.array(fragment[first][cuts[:-1]])} | _blobs(keys[owner[first]], counts[owner[first]], cuts, edges, shingles=low))
+
+
+def _frequencies(table: pa.Table, bits: int, buckets: int) -> pa.Table:
+    """In one fragment: the shingles that more than one set holds, with a logarithmic class of their frequency, by bucket of keys."""
     fragment = int(table.column("fragment")[0].as_py())
-    keys, index = np.unique(table.column("key").to_numpy(), return_index=True)
-    table = table.take(pa.array(index))
-    raw, counts = _flat(table.column("shingles"), np.dtype("V6"))
+    keys, n, counts = (_flat(table.column(c), k)[0] for c, k in (("keys", np.int64), ("n", np.int32), ("counts", np.int32)))
+    raw, _ = _flat(table.column("shingles"), np.dtype("V6"))
+    # Tasks that met the same set sent it each.
+    once = np.zeros(len(keys), bool)
+    once[np.unique(keys, return_index=True)[1]] = True
+    raw, keys, n, counts = raw[np.repeat(once, counts)], keys[once], n[once], counts[once]
     wide = np.zeros((len(raw), 8), np.uint8)
     wide[:, :6] = raw.view(np.uint8).reshape(-1, 6)
     low = wide.reshape(-1).view(np.uint64)
@@ -132,51 +151,35 @@ def _frequencies(table: pa.Table, bits: int) -> pa.Table:
     df = np.empty(len(low), np.int64)
     df[order] = np.repeat(np.diff(edges), np.diff(edges))
     keep = df > 1
-    held = np.bincount(np.repeat(np.arange(len(keys)), counts)[keep], minlength=len(keys))
+    owner = np.repeat(np.arange(len(keys)), counts)[keep]
     top = np.uint64(fragment << (64 - bits)) if bits else np.uint64(0)
     values = ((low[keep] << np.uint64(16)) >> np.uint64(bits)) | top
     classes = np.minimum(255, 8 * np.log2(df[keep])).astype(np.uint8)
-    some = held > 0
-    ends = np.concatenate(([0], np.cumsum(held[some])))
-    return pa.table({"key": keys[some], "n": table.column("n").to_numpy()[some], "shingles": _binaries(values, ends), "classes": _binaries(classes, ends)})
-
-
-def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets of which enough shingles occur elsewhere: those shingles in the global order, and the length of the prefix.
-
-    The rows of a key come together.
-    """
-    rest: pa.Table | None = None
-
-    def done(table: pa.Table) -> pa.RecordBatch:
-        key, n = table.column("key").to_numpy(), table.column("n").to_numpy().astype(np.int64)
-        values, counts = _flat(table.column("shingles"), np.uint64)
-        classes, _ = _flat(table.column("classes"), np.uint8)
-        rows = _runs(key)
-        owner = np.repeat(np.repeat(np.arange(len(rows) - 1), np.diff(rows)), counts)
-        held, n, key = np.bincount(owner, minlength=len(rows) - 1), n[rows[:-1]], key[rows[:-1]]
-        enough = 100 * held >= PERCENT * n
-        take = enough[owner]
-        values, classes, owner = values[take], classes[take], owner[take]
-        order = np.lexsort((values, classes, owner))
-        held, n = held[enough], n[enough]
-        prefix = held - (PERCENT * n + 99) // 100 + 1
-        return pa.RecordBatch.from_arrays(
-            [pa.array(key[enough]), pa.array(n.astype(np.int32)), pa.array(prefix.astype(np.int32)), _binaries(values[order], np.concatenate(([0], np.cumsum(held))))], names=["key", "n", "prefix", "shingles"]
-        )
-
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        table = pa.concat_tables([rest, table]) if rest is not None else table
-        key = table.column("key").to_numpy()
-        if not len(key):
-            continue
-        cut = int(_runs(key)[-2])
-        rest = table.slice(cut)
-        if cut:
-            yield done(table.slice(0, cut))
-    if rest is not None and len(rest):
-        yield done(rest)
+    bucket = (keys % buckets).astype(np.int32)
+    order = np.lexsort((owner, bucket[owner]))
+    values, classes, owner = values[order], classes[order], owner[order]
+    edges = _runs(owner)
+    first = owner[edges[:-1]]
+    cuts = _runs(bucket[first])
+    return pa.table({"bucket": bucket[first][cuts[:-1]]} | _blobs(keys[first], n[first], cuts, edges, shingles=values, classes=classes))
+
+
+def _ordered(table: pa.Table) -> pa.Table:
+    """In one bucket of keys: the sets of which enough shingles occur elsewhere, those shingles in the global order, and the
+    length of the prefix."""
+    keys, n, counts = (_flat(table.column(c), k)[0] for c, k in (("keys", np.int64), ("n", np.int32), ("counts", np.int32)))
+    values, _ = _flat(table.column("shingles"), np.uint64)
+    classes, _ = _flat(table.column("classes"), np.uint8)
+    keys, index, of = np.unique(keys, return_index=True, return_inverse=True)
+    n, owner = n[index].astype(np.int64), np.repeat(of, counts)
+    held = np.bincount(owner, minlength=len(keys))
+    enough = 100 * held >= PERCENT * n
+    take = enough[owner]
+    values, classes, owner = values[take], classes[take], owner[take]
+    order = np.lexsort((values, classes, owner))
+    held, n = held[enough], n[enough]
+    prefix = held - (PERCENT * n + 99) // 100 + 1
+    return pa.table({"key": keys[enough], "n": n.astype(np.int32), "prefix": prefix.astype(np.int32), "shingles": _binaries(values[order], np.concatenate(([0], np.cumsum(held))))})
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
@@ -188,7 +191,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Recor
         place = np.arange(len(values)) - np.repeat(np.cumsum(counts) - counts, counts)
         take = place < prefix[owner]
         values, owner, place = values[take], owner[take], (place + (n - counts)[owner])[take].astype(np.int32)
-        fragment = (values >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(values), np.int32)
+        fragment = _fragments(values, bits)
         order = np.lexsort((fragment, owner))
         values, owner, place, fragment = values[order], owner[order], place[order], fragment[order]
         edges = _runs(owner, fragment)
@@ -255,11 +258,10 @@ def _pairs(table: pa.Table, stage: str) -> pa.Table:
         large = np.repeat(size > SMALL, size)
         member = np.flatnonzero(large)
         if len(member):
-            left = np.repeat(edges[1:], size)[member] - member - 1
-            for step in (1, 2):
-                at = member[left >= step]
-                add(at, at + step)
-            # Heads: the first set of each class of length; classes are narrower than linked sets may differ.
+            # Heads: the smallest key of each class of length; classes are narrower than linked sets may differ. A group's
+            # shingles have much the same heads.
+            width = (np.log(n[member]) / np.log(1.15)).astype(np.int64)
+            member = member[np.lexsort((key[member], width, values[member]))]
             width = (np.log(n[member]) / np.log(1.15)).astype(np.int64)
             runs = _runs(values[member], width)
             add(np.repeat(member[runs[:-1]], np.diff(runs)), member)
@@ -287,15 +289,14 @@ def _pairs(table: pa.Table, stage: str) -> pa.Table:
     return pa.table({"a": key[a], "b": key[b], "na": n[a].astype(np.int32), "nb": n[b].astype(np.int32)})
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The segments in which overlaps are counted: by the top bits of the hash."""
-    shift = np.uint64(64 - OVERLAP_FRAGMENTS.bit_length() + 1)
+def _cut(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """The segments in which overlaps are counted."""
     for batch in batches:
         values, counts = _flat(batch.column("shingles"), np.uint64)
         owner = np.repeat(np.arange(len(counts)), counts)
         order = np.lexsort((values, owner))
         values, owner = values[order], owner[order]
-        fragment = (values >> shift).astype(np.int32)
+        fragment = _fragments(values, bits)
         edges = _runs(owner, fragment)
         first = pa.array(owner[edges[:-1]])
         yield pa.RecordBatch.from_arrays([batch.column("block").take(first), pa.array(fragment[edges[:-1]]), batch.column("key").take(first), _binaries(values, edges)], names=["block", "fragment", "key", "shingles"])
@@ -330,11 +331,12 @@ def _overlaps(pairs: pa.Table, segments: pa.Table) -> pa.Table:
 
 def _links(pairs: DataFrame, sets: DataFrame, total: int) -> DataFrame:
     """Pairs (u > v) that are similar enough: partial overlaps of each fragment, summed per pair."""
-    blocks = total // (OVERLAP_FRAGMENTS * FRAGMENT) + 1
+    bits = min(OVERLAP_BITS, int(total // FRAGMENT).bit_length())
+    blocks = total // (FRAGMENT << OVERLAP_BITS) + 1
     pairs = pairs.withColumn("block", F.pmod(F.hash("a"), F.lit(blocks)))
     members = pairs.select("block", F.col("a").alias("key")).unionAll(pairs.select("block", F.col("b").alias("key"))).distinct()
-    segments = sets.select("key", "shingles").join(members, "key").select("block", "key", "shingles").mapInArrow(_cut, "block int, fragment int, key long, shingles binary")
-    dealt = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(OVERLAP_FRAGMENTS - 1))))
+    segments = sets.select("key", "shingles").join(members, "key").select("block", "key", "shingles").mapInArrow(partial(_cut, bits=bits), "block int, fragment int, key long, shingles binary")
+    dealt = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit((1 << bits) - 1))))
     counted = dealt.groupBy("block", "fragment").cogroup(segments.groupBy("block", "fragment")).applyInArrow(_overlaps, "a long, b long, na int, nb int, overlap long")
     summed = counted.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("o"))
     return summed.where(F.expr(f"100 * o >= {PERCENT} * (na + nb - o)")).select(F.col("b").alias("u"), F.col("a").alias("v"))
@@ -353,8 +355,8 @@ def join(docs: DataFrame) -> DataFrame:
     return sets.join(of_key, "key", "left").select("id", "n", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"))
 
 
-def _frequencies_of(bits: int):
-    return lambda table: _frequencies(table, bits)
+def _frequencies_of(bits: int, buckets: int):
+    return lambda table: _frequencies(table, bits, buckets)
 
 
 def _pairs_of(stage: str):
@@ -366,14 +368,12 @@ def _labels(texts: DataFrame, heads: DataFrame) -> DataFrame:
     total = heads.agg(F.sum("n")).first()[0] or 0
     bits = max(0, int(total // FRAGMENT).bit_length())
     counted = (
-        texts.select("text").mapInArrow(partial(_segments, bits=bits), "fragment int, key long, n int, shingles binary")
-        .groupBy("fragment").applyInArrow(_frequencies_of(bits), "key long, n int, shingles binary, classes binary")
-    )
-    ordered = materialize(
-        counted.repartition("key").sortWithinPartitions("key").mapInArrow(_ordered, "key long, n int, prefix int, shingles binary"), "ordered"
+        texts.select("text").mapInArrow(partial(_segments, bits=bits), f"fragment int, {_BLOBS}")
+        .groupBy("fragment").applyInArrow(_frequencies_of(bits, 1 << bits), f"bucket int, {_BLOBS}, classes binary")
     )
+    ordered = materialize(counted.groupBy("bucket").applyInArrow(_ordered, "key long, n int, prefix int, shingles binary"), "ordered")
     total, prefixes = ordered.agg(F.sum(F.length("shingles") / 8).cast("long"), F.sum("prefix")).first()
-    bits = max(2, int((prefixes or 0) // FRAGMENT).bit_length())
+    bits = int((prefixes or 0) // FRAGMENT).bit_length()
     links = labels = None
     for stage in ("first", "probe", "rest"):
         rows = ordered

@@ -79,3 +79,13 @@ def test_empty(spark):
 def test_given_documents(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     assert run(spark, rows) == brute(rows)
+
+
+def test_many_fragments(spark, sf_dir, monkeypatch):
+    """Small fragments, small groups and blocks give the same rows."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    one = sorted(map(str, jaccard.join(docs).collect()))
+    monkeypatch.setattr(jaccard, "FRAGMENT", 3000)
+    monkeypatch.setattr(jaccard, "OVERLAP_BITS", 1)
+    monkeypatch.setattr(jaccard, "SMALL", 2)
+    assert sorted(map(str, jaccard.join(docs).collect())) == one
