@@ -69,7 +69,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, data, offsets in W.chunks(batch.column("text")):
             _, counts, keys = shingle_sets(data, offsets)
-            yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), pa.array(counts, pa.int64()), pa.array(keys, mask=counts == 0)], names=["id", "n", "key"])
+            part = batch.slice(lo, hi - lo)
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("row"), pa.array(counts, pa.int64()), pa.array(keys, mask=counts == 0)], names=["id", "row", "n", "key"])
 
 
 def _binaries(values: np.ndarray, edges: np.ndarray) -> pa.Array:
@@ -343,16 +344,31 @@ def _links(pairs: DataFrame, sets: DataFrame, total: int) -> DataFrame:
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """(id, n, component) of every row of ``docs``: the size of its set and the smallest id it is linked with."""
+    """(id, row, n, root, component) of every row of ``docs``: a hash of its id and text, the size of its set, the component's
+    key, and its smallest id."""
     configure(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").alias("id"), "text")
-    sets = materialize(texts.mapInArrow(_sets, "id long, n long, key long"), "sets")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("doc_id", "text").alias("row"), "text")
+    sets = materialize(texts.mapInArrow(_sets, "id long, row long, n long, key long"), "sets")
     heads = sets.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("least"), F.max("n").alias("n"))
     labels = _labels(texts, heads)
     roots = heads.join(labels, "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     least = roots.groupBy("root").agg(F.min("least").alias("component"))
-    of_key = roots.select("key", "root").join(least, "root").select("key", "component")
-    return sets.join(of_key, "key", "left").select("id", "n", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"))
+    of_key = roots.select("key", "root").join(least, "root").select("key", "root", "component")
+    return sets.join(of_key, "key", "left").select("id", "row", "n", "root", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"))
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """One document of each component, that of the smallest id (of rows with one id, that with the smallest text hash), in
+    the columns of ``docs``. Documents without a shingle are linked with nothing and stay; of rows equal in id and text one does."""
+    rows = join(docs)
+    alone = rows.where("n = 0").select("row")
+    first = rows.where("n > 0").groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("x")).select("x.row")
+    chosen = alone.unionAll(first).distinct()
+    names = docs.columns
+    inner = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)], F.xxhash64("doc_id", "text").alias("row"))
+    # Rows that are equal in id and text meet in the join's partitions already.
+    once = inner.join(chosen, "row").groupBy("row").agg(F.first(F.struct(*[f"c{i}" for i in range(len(names))])).alias("x"))
+    return once.select(*[F.col(f"x.c{i}").alias(c) for i, c in enumerate(names)])
 
 
 def _frequencies_of(bits: int, buckets: int):

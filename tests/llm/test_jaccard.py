@@ -38,7 +38,7 @@ def brute(rows):
 
 def run(spark, rows):
     docs = spark.createDataFrame([(i, t, "x", 5) for i, t in rows], "doc_id long, text string, key string, n int").repartition(3)
-    return sorted((tuple(r) for r in jaccard.join(docs).collect()), key=str)
+    return sorted(((r.id, r.n, r.component) for r in jaccard.join(docs).collect()), key=str)
 
 
 def edited(rng, words, edits):
@@ -89,3 +89,15 @@ def test_many_fragments(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(jaccard, "OVERLAP_BITS", 1)
     monkeypatch.setattr(jaccard, "SMALL", 2)
     assert sorted(map(str, jaccard.join(docs).collect())) == one
+
+
+def test_representatives(spark):
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join(edited(rng, base, 1))) for i in range(5, 25)] + [(100, "other words that stay here"), (100, "other words that stay here"), (100, "and a second text of one id"), (7000, None), (7001, ""), (None, "")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, key string")
+    out = jaccard.representatives(docs)
+    assert out.columns == docs.columns
+    want = {(5, rows[0][1]), (100, rows[20][1]), (100, rows[22][1]), (7000, None), (7001, ""), (None, "")}
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert len(got) == len(want) and set(got) == want
