@@ -49,6 +49,7 @@ def _print_sql(view: str) -> str:
     return f"SELECT repo, path, sha256(regexp_replace({text}, '[ \t\n\r\f\v]+', '', 'g')) AS fingerprint FROM {view}"
 
 
+# The given texts have no functions, so a plain removal of comments, braces and blanks tells the same texts apart.
 VIEWS["v_print_a"] = _print_sql("v_bare_a")
 VIEWS["v_print_b"] = _print_sql("v_bare_b")
 
@@ -84,9 +85,29 @@ def _(i):
     )
 
 
-@query("structure_fingerprint", "SELECT repo, path, fingerprint FROM v_print_b")
+# A source text around each document's words, and edits of it: name, old, new, and whether other files see the edit.
+PRINT_CASES = [
+    ("none", "zzz", "zzz", True), ("function_body", "x(1)", "y(2, 3)", True), ("comment", "use a::b;", "use a::b; // c { d", True), ("spaces", "-> u8", "\n  ->   u8", True),
+    ("method_body", "{ 7 }", "{ self.k() }", True), ("inner_function_body", "{ 8 }", "{ 9 }", True), ("text_in_body", "let t = \"", "let t = \"more } ", True),
+    ("field_type", "f: u8", "f: u16", False), ("trait_method", "fn m(&self) -> u8;", "fn m(&mut self) -> u8;", False), ("method_header", "fn k(&self)", "fn k(&self, n: u8)", False),
+    ("constant_text", "http://a/", "http://b/", False), ("item_in_module", "pub fn z()", "pub fn y()", False), ("constant_function_body", "{ 5 }", "{ 6 }", False),
+    ("inner_function_header", "fn inner()", "fn inner(n: u8)", False), ("use_in_body", "loop {", "use q::r; loop {", False), ("visibility", "struct S", "pub struct S", False),
+]
+SOURCE = (
+    "use a::b;\nstruct S { f: u8 }\ntrait T { fn m(&self) -> u8; }\nimpl S { fn k(&self) { 7 } }\nmod o { pub fn z() {} }\nconst fn five() -> u8 { 5 }\n"
+    "const U: &str = \"http://a/\";\nfn main() { if a { loop { match b { _ => { while c { let t = \"@\"; x(1); } } } } } fn inner() -> u8 { 8 } }"
+)
+_print_names = ", ".join(f"('{name}', {str(same).lower()})" for name, _, _, same in PRINT_CASES)
+
+
+@query("structure_fingerprint", f"""
+SELECT f.repo, f.path, k.edit, k.same FROM v_files_b f CROSS JOIN (VALUES {_print_names}) AS k(edit, same)""")
 def _(i):
-    return i.v_files_b.select("repo", "path", C.structure_fingerprint(c("text")).alias("fingerprint"))
+    words = F.regexp_replace(c("text"), r'[\\"]', "")
+    source = F.replace(F.lit(SOURCE), F.lit("@"), words)
+    edits = F.array(*[F.struct(F.lit(n).alias("edit"), F.replace(F.lit(SOURCE), F.lit(old), F.lit(new)).alias("to")) for n, old, new, _ in PRINT_CASES])
+    rows = i.v_files_b.select("repo", "path", words.alias("words"), C.structure_fingerprint(source).alias("was"), F.explode(edits).alias("x"))
+    return rows.select("repo", "path", "x.edit", (C.structure_fingerprint(F.replace("x.to", F.lit("@"), "words")) == c("was")).alias("same"))
 
 
 @query("changed_files", """
@@ -180,7 +201,7 @@ SELECT DISTINCT repo, source AS name, 'src' || CAST(CAST(substr(source, 4) AS IN
 WHERE CAST(substr(source, 4) AS INT) % 6 = 5"""
 VIEWS["v_src"] = """SELECT DISTINCT repo, source AS name FROM v_docs"""
 VIEWS["v_scope"] = """
-SELECT * FROM (WITH RECURSIVE owned AS (SELECT repo, path, package FROM v_keyed_a WHERE doc_id % 19 <> 0),
+SELECT * FROM (WITH RECURSIVE owned AS (SELECT repo, path, package FROM v_keyed_a),
 diff AS (SELECT coalesce(a.repo, b.repo) AS repo, coalesce(a.path, b.path) AS path, a.path IS NOT NULL AS was, b.path IS NOT NULL AS now,
     a.file_hash IS NOT NULL AND b.file_hash IS NOT NULL AND a.file_hash <> b.file_hash AS changed
   FROM v_keyed_a a FULL JOIN v_keyed_b b ON a.repo = b.repo AND a.path = b.path),
@@ -188,7 +209,7 @@ redecl AS (SELECT d.repo, d.path FROM diff d JOIN v_print_a x ON x.repo = d.repo
   JOIN v_print_b y ON y.repo = d.repo AND y.path = d.path WHERE d.changed AND x.fingerprint <> y.fingerprint),
 whole AS (SELECT DISTINCT repo FROM diff WHERE path LIKE '%.rs' AND was <> now
   UNION SELECT repo FROM redecl r WHERE NOT EXISTS (SELECT 1 FROM owned o WHERE o.repo = r.repo AND o.path = r.path)),
-decl AS (SELECT DISTINCT o.repo, o.package AS name FROM redecl r JOIN owned o ON o.repo = r.repo AND o.path = r.path WHERE o.package <> 'src3'),
+decl AS (SELECT DISTINCT o.repo, o.package AS name FROM redecl r JOIN owned o ON o.repo = r.repo AND o.path = r.path),
 up AS (SELECT repo, name FROM decl UNION SELECT d.repo, d.name FROM up u JOIN v_src_deps d ON d.repo = u.repo AND d.dep = u.name),
 hit AS (SELECT repo, name FROM up UNION SELECT d.repo, d.name FROM up u JOIN v_src_dev d ON d.repo = u.repo AND d.dep = u.name),
 walked AS (SELECT DISTINCT o.repo, o.path FROM owned o JOIN hit h ON h.repo = o.repo AND h.name = o.package)
@@ -207,9 +228,6 @@ def scope_inputs(i: Inputs):
     )
 
 
-VIEWS["v_scope"] = VIEWS["v_scope"].replace(" WHERE doc_id % 19 <> 0", "").replace(" WHERE o.package <> 'src3'", "")
-
-
 @query("recompute_scope", "SELECT repo, path, scope FROM v_scope")
 def _(i):
     return S.recompute_scope(**scope_inputs(i))
@@ -252,7 +270,7 @@ def _(i):
 # Pointers by document: each worktree was on one state and moves to another.
 VIEWS["v_pointers_before"] = """
 SELECT repo, 'w' || CAST(doc_id AS STRING) AS worktree, CASE WHEN doc_id % 2 = 0 THEN 'worktree:' ELSE 'commit:' END ||
-  CAST(doc_id % 40 AS STRING) AS tree_key FROM v_docs WHERE doc_id >= 0"""
+  CAST(doc_id % 40 AS STRING) AS tree_key FROM v_docs"""
 VIEWS["v_pointers_after"] = """
 SELECT repo, 'w' || CAST(doc_id AS STRING) AS worktree, CASE WHEN doc_id % 4 = 0 THEN 'worktree:' ELSE 'commit:' END ||
   CAST(CASE WHEN doc_id % 40 < 20 THEN doc_id % 40 + 1 ELSE doc_id % 40 END AS STRING) AS tree_key FROM v_docs"""
@@ -440,16 +458,25 @@ def _(i):
     )
 
 
-@query("scan_files", "SELECT path, file_hash FROM v_files_a WHERE repo = 'beta'")
+# Each document is a file in one of these folders; the second list is left out of a scan.
+SCANNED = ["src/a", "src/b/c", ".cargo", ".arch/x", "src/.arch"]
+UNSCANNED = ["target/x", "src/target", "src/.cargo", ".git/x"]
+_folders = ", ".join(f"({n}, '{f}', {str(n < len(SCANNED)).lower()})" for n, f in enumerate([*SCANNED, *UNSCANNED]))
+
+
+@query("scan_files", f"""
+SELECT k.folder, d.file_hash, CAST(count(*) AS BIGINT) AS files FROM v_files_a d JOIN (VALUES {_folders}) AS k(n, folder, seen)
+  ON k.n = d.doc_id % {len(SCANNED) + len(UNSCANNED)} WHERE k.seen GROUP BY ALL""")
 def _(i):
-    # The documents written as files named by their hash of the path, one folder each, then listed.
     path = scratch_path(i.spark, "scan")
-    named = i.v_files_a.filter(c("repo") == "beta").select("path", "text")
-    named.select("path", "text").write.partitionBy("path").text(path, lineSep="\n")
-    listed = src.scan_files(i.spark, path)
-    place = F.url_decode(F.regexp_extract("path", r"^path=([^/]*)/", 1))
+    folders = [*SCANNED, *UNSCANNED]
+    for n, folder in enumerate(folders):
+        mine = i.v_files_a.filter(c("doc_id") % len(folders) == n).select("text")
+        mine.write.option("maxRecordsPerFile", 1).text(f"{path}/{folder}", lineSep="\n")
+    # The sink's own marks of success are no documents.
+    listed = src.scan_files(i.spark, path).filter(c("path").endswith(".txt"))
     body = F.regexp_replace(F.decode("content", "UTF-8"), r"\n$", "")
-    return listed.filter(c("path").startswith("path=")).select(place.alias("path"), F.sha2(body, 256).alias("file_hash"))
+    return listed.groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("folder"), F.sha2(body, 256).alias("file_hash")).agg(F.count(F.lit(1)).alias("files"))
 
 
 VIEWS["v_paths"] = """
