@@ -100,3 +100,7 @@ DECL_PREFIX = (
     r"^\s*(pub(\([^)]*\))?\s+)?(default\s+)?(const\s+)?(async\s+)?(unsafe\s+)?(extern\s+(\"[^\"]*\"\s+)?)?"
 )
 DECL_LINE = DECL_PREFIX + r"(fn|struct|enum|trait|type|const|static|mod|union)\s+[A-Za-z_]"
+
+# Dot folders that a scan of files enters: at any level, and at the top alone.
+DOT_FOLDERS = (".arch",)
+TOP_DOT_FOLDERS = (".cargo",)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom import schemas
+from factloom.fixed import DOT_FOLDERS, TOP_DOT_FOLDERS
 from factloom.functions import columns as C
 from factloom.operators.ordered import KEYS, last_by
 
@@ -137,17 +138,31 @@ def read_file_facts(deltas: DataFrame) -> DataFrame:
     )
 
 
-def scan_files(spark: SparkSession, path: str, also: Sequence[str] = (".cargo",)) -> DataFrame:
-    """(path, content, file_hash) of the files under a folder, ``target/`` and dot directories left out but ``also``."""
+def _dot_roots(spark: SparkSession, path: str) -> list[str]:
+    """The dot folders that a scan enters. Spark's listing goes into none, so they are roots of their own."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    system = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    deepest = listed.agg(F.max(F.size(F.split("path", "/")))).first()[0] or 0
+    globs = [f"{path}/{d}" for d in TOP_DOT_FOLDERS] + [f"{path}/{'*/' * n}{d}" for d in DOT_FOLDERS for n in range(deepest)]
+    return [str(s.getPath()) for g in globs for s in system.globStatus(hadoop(g)) or []]
+
+
+def scan_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content, file_hash) of the files under a folder.
+
+    Left out are folders named ``target`` and dot folders at any level, but for those that ``fixed`` names.
+    """
+    path = path.rstrip("/")
     files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).load([path, *_dot_roots(spark, path)])
         .select(F.col("path").alias("_full"), "content")
     )
-    rel = F.regexp_replace("_full", r"^.*?" + re.escape(path.rstrip("/")) + "/+", "")
-    dirs = F.split(F.regexp_replace(rel, r"/?[^/]*$", ""), "/")
-    hidden = F.exists(dirs, lambda d: d.startswith(".") & ~d.isin(list(also)))
-    keep = (F.get(dirs, F.lit(0)) != "target") & ~hidden
-    return files.filter(keep).select(rel.alias("path"), "content", F.sha2("content", 256).alias("file_hash"))
+    rel = F.regexp_replace("_full", r"^.*?" + re.escape(path) + "/+", "")
+    dirs = F.filter(F.split(F.regexp_replace(rel, r"/?[^/]*$", ""), "/"), lambda d: d != "")
+    shown = lambda d, i: ~d.startswith(".") | d.isin(*DOT_FOLDERS) | ((i == 0) & d.isin(*TOP_DOT_FOLDERS))
+    left_out = F.exists(F.transform(dirs, lambda d, i: (d == "target") | ~shown(d, i)), lambda out: out)
+    return files.filter(~left_out).select(rel.alias("path"), "content", F.sha2("content", 256).alias("file_hash"))
 
 
 def read_lock_packages(texts: DataFrame, keys: Sequence[str]) -> DataFrame:
