@@ -26,7 +26,7 @@ SELECT repo, tree_key, "from" || ' -' || kind || coalesce('.' || member, '') ||
   CASE WHEN line % 11 = 0 THEN 'no path' END AS unresolved, line FROM v_all_links WHERE target_kind = 'item'"""
 VIEWS["v_inv_findings"] = """
 SELECT repo, tree_key, 'f ' || id AS id, CASE WHEN line % 2 = 0 THEN 'direction' ELSE 'domain must not depend-on driven' END AS rule, id AS link,
-  CASE WHEN line % 3 = 0 THEN 'block' ELSE 'warn' END AS level, line % 4 = 0 AS gates_merge, CASE WHEN line % 50 = 0 THEN 'plugin' ELSE 'core' END AS origin FROM v_inv_links WHERE line % 5 = 0"""
+  CASE WHEN line % 3 = 0 THEN 'block' ELSE 'warn' END AS level, line % 4 = 0 AS gates_merge, CASE WHEN line % 50 = 0 THEN 'plugin' ELSE 'core' END AS origin FROM v_inv_links"""
 VIEWS["v_inv_chips"] = """
 SELECT repo, tree_key, a AS "from", b AS "to", n + CASE WHEN length(b) = 4 THEN 1 ELSE 0 END AS "count", length(a) % 3 <> 0 AS badged FROM (
   SELECT l.repo, l.tree_key, x.area AS a, y.area AS b, count(*) AS n FROM v_inv_links l JOIN v_inv_items x ON x.repo = l.repo AND x.id = l."from"

@@ -193,7 +193,11 @@ def _needed(sql: str) -> list[str]:
 
 def duckdb_sql(body: str) -> str:
     """``body`` with the views it reads in front, as one statement for DuckDB."""
-    ctes = [f"{name} AS ({VIEWS[name]})" for name in _needed(body)]
+    needed = _needed(body)
+    readers = [body, *(VIEWS[name] for name in needed)]
+    # Views that are read more than once are worked out once.
+    kept = {name for name in needed if sum(len(re.findall(rf"\b{name}\b", x)) for x in readers) > 1}
+    ctes = [f"{name} AS {'MATERIALIZED ' * (name in kept)}({VIEWS[name]})" for name in needed]
     rest = re.sub(r"^\s*WITH\s+(RECURSIVE\s+)?", "", body, count=1, flags=re.I)
     if rest != body:
         return "WITH RECURSIVE " + ",\n".join([*ctes, rest.strip()])
@@ -220,7 +224,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def spark_sql(spark: SparkSession, sf_dir: str, body: str) -> DataFrame:
     """Run ``body`` over the views in Spark."""
-    text = duckdb_sql(body)
+    text = duckdb_sql(body).replace(" AS MATERIALIZED (", " AS (")
     for table in TABLES:
         if re.search(rf"\b{table}\b", text):
             spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
