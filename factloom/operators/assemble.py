@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from factloom import fixed
 from factloom.functions import columns as C
 from factloom.operators.ordered import KEYS, first_by, numbered
+from factloom.session import materialize
 
 NOT_WALKED = 2**32 - 1
 
@@ -268,7 +269,8 @@ def row_fold(items: DataFrame, placed: DataFrame, impls: DataFrame, keys: Sequen
 
     An impl block folds into its type's row when the type is in the same area, an item with a parent into the parent's
     row, and a private loose item into its module's. items (keys, id, kind, visibility, parent, module), placed
-    (keys, id, area), impls (keys, id, self_type). Parents are at most two deep (member, impl, type).
+    (keys, id, area), impls (keys, id, self_type). Parents are followed to the top by doubling, to any depth, as long as
+    they are in the item's area.
     """
     homes = placed.select(*keys, "id", "area")
     base = items.join(homes, [*keys, "id"]).join(impls.select(*keys, "id", "self_type"), [*keys, "id"], "left")
@@ -276,17 +278,19 @@ def row_fold(items: DataFrame, placed: DataFrame, impls: DataFrame, keys: Sequen
     top = base.join(types, [*keys, "self_type"], "left")
     typed = (F.col("kind") == "impl") & (F.col("_type_area") == F.col("area"))
     loose = F.col("parent").isNull() & (F.col("visibility") == "private") & ~F.col("kind").isin("mod", "impl")
-    # A type may itself be loose; its impls go where it goes.
     modules = F.concat(F.lit("module:"), "module")
-    own = F.when(F.coalesce(typed, F.lit(False)), F.col("self_type")).when(loose, modules).otherwise(F.col("id"))
-    step = top.select(*keys, "id", "area", "parent", own.alias("_own"))
-    owners = step.select(*keys, F.col("id").alias("_ref"), F.col("_own").alias("_next"), "area")
-    first = (
-        step.withColumn("_ref", F.when(F.col("parent").isNotNull(), F.col("parent")).otherwise(F.col("_own")))
-        .join(owners, [*keys, "_ref", "area"], "left").withColumn("_one", F.coalesce("_next", "_ref")).drop("_next", "_ref")
-    )
-    second = first.withColumn("_ref", F.col("_one")).join(owners, [*keys, "_ref", "area"], "left")
-    return second.select(*keys, "id", "area", F.coalesce("_next", "_ref").alias("row"))
+    # A type may itself be loose; its impls go where it goes.
+    own = F.when(F.col("parent").isNotNull(), F.col("parent")).when(F.coalesce(typed, F.lit(False)), F.col("self_type")).when(loose, modules).otherwise(F.col("id"))
+    rows = materialize(top.select(*keys, "id", "area", own.alias("row")), "rows")
+    # A chain is no longer than the items are many, so a ring of parents ends too.
+    for _ in range(rows.count().bit_length()):
+        above = rows.select(*keys, F.col("id").alias("row"), "area", F.col("row").alias("_next"))
+        moved = rows.join(above, [*keys, "row", "area"], "left").withColumn("_moved", F.coalesce(F.col("_next") != F.col("row"), F.lit(False)))
+        rows = materialize(moved.select(*keys, "id", "area", F.coalesce("_next", "row").alias("row"), "_moved"), "rows")
+        if not rows.filter("_moved").limit(1).count():
+            break
+        rows = rows.drop("_moved")
+    return rows.select(*keys, "id", "area", "row")
 
 
 def row_links(links: DataFrame, rows: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -285,11 +285,16 @@ def spawned_workers(
         .join(called.withColumnRenamed("id", "target"), [*keys, "target"], "left_anti")
     )
     candidates = materialize(candidates, "spawns")
-    inside = reach_within_module(calls, items, candidates.select(*keys, F.col("target").alias("node")), keys)
-    endless = (
-        inside.join(loops.select(*keys, F.col("id").alias("node")).distinct(), [*keys, "node"], "left_semi")
-        .select(*keys, F.col("start").alias("target")).distinct()
+    # Backwards from the loops over calls inside one top module: a row per item, not per spawn and item.
+    tops = items.select(*keys, F.col("id").alias("_id"), top_module(F.col("module")).alias("_top"))
+    inner = (
+        calls.select(*keys, "from", "to")
+        .join(tops.withColumnRenamed("_id", "from"), [*keys, "from"]).withColumnRenamed("_top", "_from_top")
+        .join(tops.withColumnRenamed("_id", "to"), [*keys, "to"]).filter(F.col("_top") == F.col("_from_top"))
+        .select(*keys, F.col("to").alias("from"), F.col("from").alias("to"))
     )
+    known = loops.select(*keys, F.col("id").alias("node")).join(tops.select(*keys, F.col("_id").alias("node")), [*keys, "node"], "left_semi")
+    endless = reachable(inner, known, keys, label="to-loops").select(*keys, F.col("node").alias("target")).distinct()
     firsts = (
         candidates.join(endless, [*keys, "target"], "left_semi")
         .groupBy(*keys, "target")

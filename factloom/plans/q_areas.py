@@ -315,14 +315,15 @@ def _(i):
 
 VIEWS["v_fold_items"] = """
 SELECT repo, tree_key, id, CASE WHEN pos % 10 = 4 THEN 'impl' WHEN pos % 17 = 0 THEN 'mod' ELSE kind END AS kind, visibility, module, area, pos,
-  CASE WHEN pos % 10 = 5 THEN prev END AS parent, CASE WHEN pos % 10 = 4 THEN prev END AS self_type FROM (
+  CASE WHEN pos % 10 >= 5 THEN prev END AS parent, CASE WHEN pos % 10 = 4 THEN prev END AS self_type FROM (
   SELECT p.*, p.top AS area, lag(p.id) OVER (PARTITION BY p.repo, p.top ORDER BY p.id) AS prev FROM v_items p) x"""
 VIEWS["v_rows"] = """
-SELECT * FROM (WITH own AS (SELECT i.*, CASE WHEN i.kind = 'impl' AND t.id IS NOT NULL THEN i.self_type
-    WHEN i.parent IS NULL AND i.visibility = 'private' AND i.kind NOT IN ('mod', 'impl') THEN 'module:' || i.module ELSE i.id END AS own
+SELECT * FROM (WITH RECURSIVE own AS (SELECT i.repo, i.id, i.area, CASE WHEN i.parent IS NOT NULL THEN i.parent WHEN i.kind = 'impl' AND t.id IS NOT NULL THEN i.self_type
+    WHEN i.visibility = 'private' AND i.kind NOT IN ('mod', 'impl') THEN 'module:' || i.module ELSE i.id END AS up
   FROM v_fold_items i LEFT JOIN v_fold_items t ON t.repo = i.repo AND t.id = i.self_type AND t.area = i.area),
-one AS (SELECT o.repo, o.id, o.area, coalesce(p.own, coalesce(o.parent, o.own)) AS r FROM own o LEFT JOIN own p ON p.repo = o.repo AND p.area = o.area AND p.id = coalesce(o.parent, o.own))
-SELECT o.repo, o.id, o.area, coalesce(p.own, o.r) AS "row" FROM one o LEFT JOIN own p ON p.repo = o.repo AND p.area = o.area AND p.id = o.r) z"""
+walk AS (SELECT repo, id, area, up AS r, 0 AS n FROM own
+  UNION ALL SELECT w.repo, w.id, w.area, p.up, w.n + 1 FROM walk w JOIN own p ON p.repo = w.repo AND p.area = w.area AND p.id = w.r WHERE p.up <> w.r)
+SELECT repo, id, area, arg_max(r, n) AS "row" FROM walk GROUP BY repo, id, area) z"""
 
 
 def folded_rows(i):
