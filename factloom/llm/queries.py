@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import chat, jaccard, packing, quality, secret_scan, substrings, templates, token_counts, url_filter, warc
+from factloom.llm.oracles import ORACLES
 from factloom.session import configure
 
-ORACLES: dict[str, str] = {}
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
@@ -75,3 +75,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_warc, op3_chat_format, op4_url_filter, op5_token_counts, op6_packing, op7_quality_rules, op8_ngram_jaccard, op9_substring_dedup, op10_decontamination)}
+__all__ = ["ORACLES", "QUERIES"]
