@@ -10,7 +10,7 @@ The benchmark's window hashes filter the documents' windows in the scan while th
 bounds the broadcast; beyond it all windows go to the join. Either way the join decides.
 
 - number: a word that starts with a digit; unit: a word of ``UNITS`` after a number
-- name: a capitalised word (A-Z, and Latin-1) that does not start a text, line or sentence
+- name: a capitalised word (A-Z, and Latin-1) without a second capital of A-Z, that does not start a text, line or sentence
 
 Defined cases: null and blank texts leak nothing; an item of fewer than ``WINDOW`` words is one window of its own length;
 windows need ``LITERAL`` words that are no placeholders (at least half in short items); repeated rows give equal rows;
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from factloom.llm import words as W
 from factloom.session import configure, materialize
 
-WINDOW, LITERAL = 10, 6
+WINDOW, LITERAL = 8, 5
 #: Share of an item's words that leaked windows cover, and of its slot values that keep one value.
 COVER, CONSISTENT = 0.35, 0.8
 #: Benchmark windows up to which their hashes are broadcast (8 bytes each).
@@ -66,6 +66,8 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     head = np.flatnonzero(core)[before[starts]] if len(starts) else starts
     digit = (data[head] >= 48) & (data[head] <= 57)
     capital = ((data[head] >= 65) & (data[head] <= 90)) | np.concatenate((latin, [False]))[head + 1]
+    upper = np.concatenate(([0], np.cumsum((data >= 65) & (data <= 90))))
+    capital &= upper[ends] - upper[starts] < 2
     opens = np.ones(len(starts), bool)
     lines = np.concatenate(([0], np.cumsum(data == 10)))
     opens[1:] = np.isin(data[ends[:-1] - 1], np.frombuffer(b".!?:;", np.uint8)) | (lines[starts[1:]] > lines[ends[:-1]])

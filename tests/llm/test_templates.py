@@ -7,6 +7,7 @@ from factloom.llm import templates
 
 SENTENCE = "A baker sells 12 loaves to Anna for 3 dollars each and then Anna gives 5 loaves to Peter who walks 7 km home before the evening."
 OTHER = "A baker sells 40 loaves to Maria for 9 euros each and then Maria gives 8 loaves to Simon who walks 2 miles home before the evening."
+RIVER = "Every river bends twice before the old stone bridge near the market, and the mill stands on its far bank."
 MIXED = "A baker sells 40 loaves to Maria for 9 euros each and then Kate gives 8 loaves to Kate who walks 2 miles home before the evening."
 
 
@@ -22,7 +23,7 @@ def plain(text):
             low = "".join(c.lower() if c.isascii() or "À" <= c <= "Þ" and c != "×" else c for c in core)
             if core[0].isdigit() and core[0].isascii():
                 out.append("<1>")
-            elif (core[0].isascii() and core[0].isupper() or "À" <= core[0] <= "Þ" and core[0] != "×") and not opens:
+            elif (core[0].isascii() and core[0].isupper() or "À" <= core[0] <= "Þ" and core[0] != "×") and not opens and sum("A" <= c <= "Z" for c in core) < 2:
                 out.append("<2>")
             elif number and low in templates.UNITS:
                 out.append("<3>")
@@ -48,12 +49,12 @@ def found(spark, docs, items):
 def test_slots_and_verbatim(spark):
     rng = random.Random(2)
     noise = lambda n: " ".join(f"n{rng.randrange(10**6)}" for _ in range(n))
-    docs = [(1, f"{noise(50)} {SENTENCE} {noise(9)}"), (2, f"{noise(20)}. {OTHER}"), (3, noise(300)), (4, None), (5, ""), (6, f"{noise(5)} {MIXED.upper()}"), (7, SENTENCE[:30]), (None, SENTENCE)]
+    docs = [(1, f"{noise(50)} {SENTENCE} {noise(9)}"), (2, f"{noise(20)}. {OTHER}"), (3, noise(300)), (4, None), (5, ""), (6, f"{noise(5)} {MIXED.upper()}"), (7, SENTENCE[:30]), (9, f"{noise(30)} {RIVER.upper()}"), (None, SENTENCE)]
     docs += [(8, "very " * 30000), docs[0]]
-    items = [(10, SENTENCE), (11, "What is 2 plus 3"), (12, None), (13, ""), (14, "7")]
+    items = [(10, SENTENCE), (11, "What is 2 plus 3"), (12, None), (13, ""), (14, "7"), (15, RIVER)]
     got = found(spark, docs, items)
-    assert {r[:2] for r in got} == {(1, 10), (2, 10), (None, 10)}
-    assert {r[0]: r[3] > 0 for r in got} == {1: False, 2: True, None: False}
+    assert {r[:2] for r in got} == {(1, 10), (2, 10), (9, 15), (None, 10)}
+    assert {r[0]: r[3] > 0 for r in got} == {1: False, 2: True, 9: False, None: False}
     assert found(spark, [(20, "we ask: What is 4 plus 9 here")], items)[0][:2] == (20, 11)
     assert found(spark, [], items) == [] and found(spark, docs, []) == []
 
@@ -71,7 +72,7 @@ def brute(docs, items):
         words = plain(text)
         for i, item in items:
             theirs = plain(item)
-            size = min(10, len(theirs))
+            size = min(8, len(theirs))
             if not size:
                 continue
             index = {}
@@ -80,7 +81,7 @@ def brute(docs, items):
             hit = set()
             for j in range(len(words) - size + 1):
                 window = tuple(words[j : j + size])
-                if sum(x[0] != "<" for x in window) >= min(6, (size + 1) // 2):
+                if sum(x[0] != "<" for x in window) >= min(5, (size + 1) // 2):
                     for k in index.get(window, ()):
                         hit.update(range(k, k + size))
             if hit and len(hit) >= 0.35 * len(theirs):
