@@ -1,12 +1,13 @@
 """Quality rules by cross-document line frequency.
 
 Lines are normalised (A-Z in lower case, runs of white space as one) and hashed. For each host and line the distinct
-documents that hold it are counted. A line above the limit is boilerplate and is removed; a document that then keeps
-too few of its words is depleted and rejected.
+documents that hold it are counted, copies as one. A line above the limit is boilerplate and is removed; a document that
+then keeps too few of its words is depleted and rejected.
 
-Copies are not boilerplate: documents with the same text count once, and a line counts as boilerplate only if at least
-half of the documents that hold it are unrelated, that is, have a smallest 5-word shingle of their own. A group of near
-copies shares that shingle, so its lines stay for the deduplicating operators.
+Copies are the same text, and near copies: texts whose 5-word shingles are similar by ``SIMILAR``, estimated from
+``SKETCH`` min-hashes, and what such pairs connect. Texts that share a bucket of a few min-hashes are compared with the
+bucket's first or last text only, so a large group makes as many pairs as it has members. Only texts that hold a line
+above the limit are compared. Pages that share a passage are no copies, however many they are.
 
 Defined cases: null text is empty, with all counts 0 and rejected; a null host is the host ''; repeated rows get equal
 rows; an empty table gives an empty one; further columns are not read.
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import words as W
+from factloom.llm.components import components
 from factloom.session import configure, materialize
 
 SHINGLE = 5
@@ -29,10 +31,14 @@ SHINGLE = 5
 MAX_DOCS = 40
 #: A document that keeps less than this share of its words is rejected.
 MIN_LEFT = 0.3
+#: Share of equal min-hashes from which two texts are near copies, and the number of min-hashes (two bytes each).
+SIMILAR, SKETCH = 0.75, 128
+#: (first min-hash, min-hashes) of each bucket: short ones find all near copies, long ones hold little else.
+BUCKETS = [*((k, 4) for k in range(0, 64, 4)), *((k, 8) for k in range(64, 128, 8))]
 SYMBOLS = b"#*$%&|<>"
 
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-_SCHEMA = "id long, host string, text_key long, " + ", ".join(f"{c} long" for c in _COUNTS) + ", sig long, lines array<long>, line_words array<long>"
+_SCHEMA = "id long, host string, text_key long, " + ", ".join(f"{c} long" for c in _COUNTS) + ", sketch binary, lines array<long>, line_words array<long>"
 
 
 def _grouped(owner: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,8 +61,27 @@ def _line_ranges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return starts, ends
 
 
+def _sketches(shingles: np.ndarray, per_text: np.ndarray) -> pa.Array:
+    """``SKETCH`` min-hashes of each text's shingles, 16 bits of each; null for a text without shingles."""
+    some = np.flatnonzero(per_text)
+    mins = np.empty((len(some), SKETCH), np.uint16)
+    if len(some):
+        starts = (np.cumsum(per_text) - per_text)[some]
+        low = (shingles ^ (shingles >> np.uint64(32))).astype(np.uint32)
+        for k, factor in enumerate(W.mix(np.arange(1, SKETCH + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)):
+            x = low * factor
+            x ^= x >> np.uint32(15)
+            x *= np.uint32(0x2C1B3C6D)
+            x ^= x >> np.uint32(13)
+            mins[:, k] = (np.minimum.reduceat(x, starts) * np.uint32(0x9E3779B1)) >> np.uint32(16)
+    out: list[bytes | None] = [None] * len(per_text)
+    for i, row in zip(some.tolist(), mins, strict=True):
+        out[i] = row.tobytes()
+    return pa.array(out, pa.binary())
+
+
 def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts, the smallest shingle, and the distinct normalised lines of each text."""
+    """Counts, min-hashes of the shingles, and the distinct normalised lines of each text."""
     for batch in batches:
         for lo, hi, data, offsets in W.chunks(batch.column("text")):
             n = hi - lo
@@ -81,8 +106,6 @@ def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             owner = W.owners(w.first, at)
             group, sizes = _grouped(owner, shingles)
             again = W.covered(at[sizes[group] > 1], SHINGLE, len(w.starts)) if len(at) else np.zeros(len(w.starts), bool)
-            sig = np.full(n, np.iinfo(np.int64).max)
-            np.minimum.at(sig, owner, shingles.view(np.int64))
 
             plain = W.range_hashes(w.hashes(W.lower(data)), first, last)
             group, sizes = _grouped(text, plain)
@@ -92,9 +115,9 @@ def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(lo, n)
             yield pa.RecordBatch.from_arrays(
                 [part.column("id"), part.column("host"), part.column("text_key")]
-                + [pa.array(x, pa.int64()) for x in (w.counts, chars, symbols, repeated, W.sums(again, w.first), sig)]
-                + [W.lists(plain[index].view(np.int64), per_text, pa.int64()), W.lists(line_words, per_text, pa.int64())],
-                names=["id", "host", "text_key", *_COUNTS, "sig", "lines", "line_words"],
+                + [pa.array(x, pa.int64()) for x in (w.counts, chars, symbols, repeated, W.sums(again, w.first))]
+                + [_sketches(shingles, np.bincount(owner, minlength=n)), W.lists(plain[index].view(np.int64), per_text, pa.int64()), W.lists(line_words, per_text, pa.int64())],
+                names=["id", "host", "text_key", *_COUNTS, "sketch", "lines", "line_words"],
             )
 
 
@@ -105,12 +128,34 @@ def measured(docs: DataFrame) -> DataFrame:
     return materialize(rows.mapInArrow(measure, _SCHEMA), "quality")
 
 
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose sketches agree in enough min-hashes."""
+    for batch in batches:
+        a, b = (np.array(batch.column(c).to_pylist(), f"S{2 * SKETCH}").view(np.uint16).reshape(-1, SKETCH) for c in ("su", "sv"))
+        yield batch.select(["u", "v"]).filter(pa.array((a == b).sum(axis=1) >= SIMILAR * SKETCH))
+
+
+def near_copies(texts: DataFrame) -> DataFrame:
+    """(node, root) of the texts (text_key, sketch) that have near copies; a root stands for its group."""
+    keys = F.array(*[F.xxhash64(F.lit(at), F.substring("sketch", 2 * at + 1, 2 * n)) for at, n in BUCKETS])
+    held = texts.where("sketch IS NOT NULL").select("text_key", F.posexplode(keys).alias("place", "bucket"))
+    ends = held.groupBy("place", "bucket").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high")).where("low < high")
+    short = sum(n == BUCKETS[0][1] for _, n in BUCKETS)
+    pairs = held.join(ends, ["place", "bucket"]).select(F.col("text_key").alias("u"), F.when(F.col("place") < short, F.col("low")).otherwise(F.col("high")).alias("v")).where("u != v").distinct()
+    both = pairs.join(texts.select(F.col("text_key").alias("u"), F.col("sketch").alias("su")), "u").join(texts.select(F.col("text_key").alias("v"), F.col("sketch").alias("sv")), "v")
+    return components(both.select("u", "v", "su", "sv").mapInArrow(_similar, "u long, v long"))
+
+
 def frequent_lines(rows: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
-    """(host, line, n_docs) of lines above the limit. Every count is combined before its shuffle."""
-    held = rows.select("host", F.explode("lines").alias("line"), "sig", "text_key").groupBy("host", "line", "text_key").agg(F.min("sig").alias("sig"))
-    by_sig = held.groupBy("host", "line", "sig").agg(F.count(F.lit(1)).alias("n"))
-    counts = by_sig.groupBy("host", "line").agg(F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_sigs"))
-    return counts.where((F.col("n_docs") > max_docs) & (2 * F.col("n_sigs") >= F.col("n_docs"))).select("host", "line", "n_docs")
+    """(host, line, n_docs) of lines above the limit; n_docs counts copies as one. Every count is combined before its shuffle."""
+    held = rows.select("host", F.explode("lines").alias("line"), "text_key").distinct()
+    often = held.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_docs).drop("n")
+    holders = materialize(held.join(often, ["host", "line"]), "holders")
+    sketches = rows.select("text_key", "sketch").join(holders.select("text_key").distinct(), "text_key", "left_semi")
+    texts = materialize(sketches.groupBy("text_key").agg(F.min("sketch").alias("sketch")), "sketches")
+    roots = near_copies(texts).withColumnRenamed("node", "text_key")
+    classes = holders.join(roots, "text_key", "left").select("host", "line", F.coalesce("root", "text_key").alias("class")).distinct()
+    return classes.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > max_docs)
 
 
 def judge(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
@@ -123,7 +168,7 @@ def judge(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT)
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     left = F.col("n_words") - F.coalesce("n_lost", F.lit(0))
     return (
-        rows.drop("lines", "line_words", "sig").join(lost, ["host", "text_key"], "left")
+        rows.drop("lines", "line_words", "sketch").join(lost, ["host", "text_key"], "left")
         .withColumn("base_failed", base).withColumn("n_left", left)
         .withColumn("kept", ~base & (left >= F.lit(min_left) * F.col("n_words"))).drop("n_lost")
     )

@@ -86,6 +86,21 @@ def test_near_copies_are_no_boilerplate(spark):
     assert quality.judge(make(spark, rows), max_docs=5).where("kept").count() == 60
 
 
+def test_pages_with_a_common_passage_are_no_copies(spark):
+    for common, own in ((50, 50), (60, 40), (70, 30), (80, 20), (85, 20)):
+        rows = [(i, f"{unique_words(0, common)}\n{unique_words(i, own)}", "a") for i in range(1, 101)]
+        got = quality.judge(make(spark, rows)).collect()
+        assert {r.n_left for r in got} == {own} and {r.kept for r in got} == {own >= 0.3 * (common + own)}
+
+
+def test_copies_count_once_among_others(spark):
+    near = lambda i: f"{unique_words(0, 200)}\n{unique_words(i, 12)}"
+    rows = [(i, near(i), "a") for i in range(1, 1001)] + [(i, near(i), "b") for i in range(1001, 1301)]
+    rows += [(i, f"{unique_words(0, 200)}\n{unique_words(i, 150)}", "b") for i in range(2001, 2051)]
+    got = quality.judge(make(spark, rows)).collect()
+    assert {r.n_left for r in got if r.host == "a"} == {212} and {r.n_left for r in got if r.host == "b"} == {12, 150}
+
+
 def test_clean_and_empty(spark):
     rows = [(i, f"{unique_words(i, 30)}\nCookie  notice here", "a") for i in range(9)] + [(50, "too short", "a")]
     docs = make(spark, rows)
