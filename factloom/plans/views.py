@@ -82,7 +82,7 @@ FROM orders JOIN v_repo_items c ON c.crate = 'cust' AND c.pos = o_custkey) x"""
 VIEWS["v_part_calls"] = """
 SELECT DISTINCT a, b FROM (
 SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
-  l_quantity, l_extendedprice, l_shipdate) AS b FROM lineitem WHERE l_quantity <= 8) x
+  l_quantity, l_extendedprice, l_shipdate) AS b FROM lineitem) x
 WHERE b IS NOT NULL AND a <> b"""
 
 VIEWS["v_calls"] = """
@@ -90,7 +90,7 @@ SELECT 'alpha' AS repo, 'commit:alpha' AS tree_key, x.id AS "from", y.id AS "to"
 FROM v_part_calls c JOIN v_part_ids x ON x.num = c.a JOIN v_part_ids y ON y.num = c.b
 UNION ALL
 SELECT 'beta', 'commit:beta', y.id, x.id
-FROM v_part_calls c JOIN v_part_ids x ON x.num = c.a JOIN v_part_ids y ON y.num = c.b WHERE c.a % 2 = 0"""
+FROM v_part_calls c JOIN v_part_ids x ON x.num = c.a JOIN v_part_ids y ON y.num = c.b"""
 
 VIEWS["v_parts"] = """SELECT * FROM v_items WHERE crate = 'part'"""
 
