@@ -66,6 +66,15 @@ def test_inconsistent_slots(spark):
     assert found(spark, [(1, b)], [(5, a)]) == []
 
 
+def test_copies_in_capitals_and_items_rich_in_slots(spark):
+    dense = "Add 3 kg 250 g and 4 kg 750 g then subtract 2 kg 100 g"
+    other = "Add 7 kg 150 g and 9 kg 350 g then subtract 5 kg 900 g"
+    chance = "We took 5 kg 250 g and 4 kg 950 g of it, sold 2 kg 100 g"
+    items = [(1, SENTENCE), (2, dense), (3, "Does Anna like Peter")]
+    docs = [(1, f"so: {SENTENCE.upper()}"), (2, SENTENCE.replace(" ", "\n")), (3, f"so {dense}"), (4, f"so {other.lower()}"), (5, chance), (6, "DOES ANNA LIKE PETER")]
+    assert {r[:2] for r in found(spark, docs, items)} == {(1, 1), (2, 1), (3, 2), (4, 2), (6, 3)}
+
+
 def brute(docs, items):
     out = set()
     for d, text in docs:
