@@ -136,3 +136,21 @@ def test_the_lifecycle_stream_keeps_its_state(spark):
     stream.writeStream.outputMode("update").foreachBatch(save).trigger(availableNow=True).option("checkpointLocation", out + "/c").start().awaitTermination()
     got = spark.read.parquet(out + "/rows").groupBy("session").agg(F.max_by(F.struct("state", "illegal"), "epoch").alias("v")).collect()
     assert {r["session"]: tuple(r["v"]) for r in got} == {"s": ("running", 1), "t": ("yours", 0)}
+
+
+def test_late_rows_of_more_batches_than_progress_keeps(spark):
+    path, out = scratch_path(spark, "late"), scratch_path(spark, "out")
+    counter = SB.LateRows()
+    spark.streams.addListener(counter)
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "1")
+    try:
+        for days in (["2024-05-01"], ["2024-01-01", "2024-01-02", "2024-01-03"]):
+            for k, day in enumerate(days):
+                spark.createDataFrame([(f"{day}{k}", f"{day} 00:00:00")], "id string, ts string").coalesce(1).write.mode("append").parquet(path)
+            stream = SB.on_time(spark.readStream.schema("id string, ts string").option("maxFilesPerTrigger", 1).parquet(path), "1 day", ["id"])
+            query = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", out + "/c").format("parquet").option("path", out + "/r").start()
+            query.awaitTermination()
+        assert SB.late_rows(query) < 3 and counter.of(query) == 3
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+        spark.streams.removeListener(counter)
