@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import chat, jaccard, packing, quality, secret_scan, substrings, templates, token_counts, url_filter, warc
+from factloom.llm import chat, hard_negatives, jaccard, manifest, packing, quality, secret_scan, sharding, substrings, templates, token_counts, url_filter, warc
 from factloom.llm.oracles import ORACLES
 from factloom.session import configure
 
@@ -74,5 +74,26 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "item_id", "n_words", "n_covered", "n_slots", "n_changed")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_warc, op3_chat_format, op4_url_filter, op5_token_counts, op6_packing, op7_quality_rules, op8_ngram_jaccard, op9_substring_dedup, op10_decontamination)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.mine(given.select("vec_id", "embedding", label.alias("label")), "vec_id", "embedding", "label", F.col("vec_id") % 100 == 0)
+    return rows.select(
+        F.col("anchor").alias("anchor_id"), F.col("positive").alias("positive_id"), "rank", F.col("negative").alias("negative_id"),
+        "positive_score", "negative_score",
+    )
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shard(table(spark, sf_dir, "documents"), shards=16)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    rows = manifest.verify(table(spark, sf_dir, "documents"), chosen, manifest.lower_ascii(F.col("text")))
+    return rows.withColumnRenamed("proof", "proof_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_warc, op3_chat_format, op4_url_filter, op5_token_counts, op6_packing, op7_quality_rules, op8_ngram_jaccard, op9_substring_dedup, op10_decontamination, op11_hard_negatives, op12_sharding, op13_merkle_manifest)}
 __all__ = ["ORACLES", "QUERIES"]
