@@ -1,8 +1,8 @@
 """Byte-level BPE ids of whole Arrow batches of texts.
 
 The split into pre-tokens is done on arrays of code points; only pre-tokens not met before by this worker are merged, by
-``tiktoken`` with the ranks of the given file. The result is that of ``tokenizers`` with the same file, with special
-tokens' strings as ordinary text.
+``tiktoken`` with the ranks of the given file. The result is that of ``tokenizers`` with the same file: a special token's
+string in a text is that token's id. Texts that hold one go through ``tokenizers`` itself.
 """
 
 from __future__ import annotations
@@ -85,15 +85,15 @@ class Encoder:
         # A pre-token is one piece.
         self.merges = tiktoken.Encoding("pieces", pat_str=r"(?s:.+)", mergeable_ranks=_ranks(path), special_tokens={}).encode_ordinary
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[str, int] = {}
         self.ids, self.starts, self.lengths = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.n_ids = 0
 
-    def _learn(self, hashes: list[int], texts: list[str]) -> None:
+    def _learn(self, texts: list[str]) -> None:
         """Remember the ids of new pre-tokens."""
         found = [self.merges(x) for x in texts]
         lengths = np.array([len(x) for x in found])
@@ -107,29 +107,58 @@ class Encoder:
         self.lengths[n : n + len(found)] = lengths
         self.ids[self.n_ids : self.n_ids + len(flat)] = flat
         self.n_ids += len(flat)
-        self.known.update(zip(hashes, range(n, n + len(found)), strict=True))
+        self.known.update(zip(texts, range(n, n + len(found)), strict=True))
+
+    def _marked(self, data: np.ndarray, offsets: np.ndarray) -> list[int]:
+        """The texts that hold a special token's string."""
+        whole, found = data.tobytes(), set()
+        for mark in self.special:
+            at = whole.find(mark)
+            while at >= 0:
+                text = int(np.searchsorted(offsets, at, "right")) - 1
+                if at + len(mark) <= offsets[text + 1]:
+                    found.add(text)
+                    at = int(offsets[text + 1]) - 1
+                at = whole.find(mark, at + 1)
+        return sorted(found)
+
+    def _by_library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        each = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(each), np.uint32), np.concatenate(([0], np.cumsum([len(x) for x in each]))).astype(np.int64)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a chunk's texts end to end, and where each text's ids start (and the end)."""
+        marked = self._marked(data, offsets)
+        if not marked:
+            return self._encode(data, offsets)
+        ids, sizes, lo = [], [], 0
+        for i in [*marked, len(offsets) - 1]:
+            parts = [self._encode(data[offsets[lo] : offsets[i]], offsets[lo : i + 1] - offsets[lo])] if i > lo else []
+            if i < len(offsets) - 1:
+                parts.append(self._by_library([data[offsets[i] : offsets[i + 1]].tobytes().decode()]))
+            ids += [x for x, _ in parts]
+            sizes += [np.diff(x) for _, x in parts]
+            lo = i + 1
+        return np.concatenate(ids), np.concatenate((np.zeros(1, np.int64), np.cumsum(np.concatenate(sizes))))
+
+    def _encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         heads = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
         edges = heads[offsets]
         text = data.tobytes().decode()
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         if len(points) and (_classes()[points] == _UNASSIGNED).any():
             # Characters whose class this Python doesn't know: the tokenizer does it all.
-            each = [e.ids for e in self.tokenizer.encode_batch_fast([text[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)], add_special_tokens=False)]
-            return np.array([i for x in each for i in x], np.uint32), np.concatenate(([0], np.cumsum([len(x) for x in each]))).astype(np.int64)
+            return self._by_library([text[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)])
         starts = pre_tokens(points, edges)
         ends = np.append(starts[1:], len(points))
-        hashes, index, inverse = np.unique(W.range_hashes(points + np.uint32(1), starts, ends), return_index=True, return_inverse=True)
+        _, index, inverse = np.unique(W.byte_hashes(points, 4 * starts, 4 * ends), return_index=True, return_inverse=True)
         if len(self.known) > REMEMBER:
             self._forget()
-        keys = hashes.tolist()
-        fresh = [i for i, h in enumerate(keys) if h not in self.known]
+        keys = [text[a:b] for a, b in zip(starts[index].tolist(), ends[index].tolist(), strict=True)]
+        fresh = [x for x in keys if x not in self.known]
         if fresh:
-            at = index[fresh]
-            self._learn([keys[i] for i in fresh], [text[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-        slot = np.fromiter((self.known[h] for h in keys), np.int64, len(keys))[inverse]
+            self._learn(fresh)
+        slot = np.fromiter((self.known[x] for x in keys), np.int64, len(keys))[inverse]
         lengths = self.lengths[slot]
         total = np.concatenate(([0], np.cumsum(lengths)))
         flat = self.ids[np.repeat(self.starts[slot] - total[:-1], lengths) + np.arange(total[-1])]

@@ -50,7 +50,8 @@ def leaves(docs: DataFrame, tampered: Column, tamper: Column) -> DataFrame:
 
 
 def placed(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``idx``, from 0 for each language in order of id and digest, and ``tree``, the language's own number."""
+    """``rows`` with ``idx``, from 0 for each language in order of id and digest, ``tree``, the language's own number, and
+    ``last``, the tree's last index."""
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "leaf-digests")
     # The row number deals out repeated rows, which are equal in all else.
     order = [F.col("lang").asc_nulls_first(), F.col("doc_id").asc_nulls_first(), F.col("leaf"), F.col("row")]
@@ -60,55 +61,57 @@ def placed(rows: DataFrame) -> DataFrame:
     counts = ranged.groupBy("lang", "part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
     before = Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first"))
+    starts = starts.withColumn("last", F.sum("n").over(Window.partitionBy("lang")) - 1)
     numbers = counts.select("lang").distinct().withColumn("tree", (F.row_number().over(Window.orderBy(F.col("lang").asc_nulls_first())) - 1).cast("long"))
     starts = starts.join(numbers.withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l")))
-    starts = starts.select(F.col("lang").alias("l"), F.col("part").alias("p"), "start", "tree")
+    starts = starts.select(F.col("lang").alias("l"), F.col("part").alias("p"), "start", "tree", "last")
     joined = ranged.join(starts, (F.col("part") == F.col("p")) & F.col("lang").eqNullSafe(F.col("l")))
-    return joined.select("doc_id", "lang", "leaf", "changed", "tree", (F.col("start") + F.col("at")).alias("idx"))
+    return joined.select("doc_id", "lang", "leaf", "changed", "tree", (F.col("start") + F.col("at")).alias("idx"), "last")
+
+
+def _height() -> Column:
+    """Levels above the leaves of a tree: three bits of its last index for each."""
+    return F.when(F.col("last") > 0, F.ceil(F.length(F.bin("last")) / 3).cast("int")).otherwise(0)
 
 
 def levels(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """The written runs (tree, level, idx, children, digest) of each level above (tree, idx, digest), and (tree, height,
-    digest) of each tree's last node."""
+    """The written runs (tree, level, idx, children, digest, height) of each level above (tree, idx, digest, last), and
+    (tree, height, digest) of each tree's last node."""
     runs: list[DataFrame] = []
-    sizes = nodes.groupBy("tree").agg(F.max("idx").alias("last"))
-    last = nodes.join(sizes.where("last = 0"), "tree").select("tree", F.lit(0).alias("height"), "digest")
+    # Nodes carry what is the same in their tree, so that no join is on the tree.
+    nodes = nodes.select("tree", "idx", "digest", "last", _height().alias("height"))
+    last = nodes.where("last = 0").select("tree", "height", "digest")
     while True:
-        more = nodes.join(sizes.where("last > 0"), "tree").select("tree", F.floor(F.col("idx") / FAN).alias("idx"), F.struct("idx", "digest").alias("child"))
-        grouped = more.groupBy("tree", "idx").agg(F.array_sort(F.collect_list("child")).alias("c"))
-        children = grouped.select("tree", F.lit(len(runs) + 1).alias("level"), "idx", F.array_join("c.digest", "").alias("children"))
+        more = nodes.where("last > 0").select("tree", "height", F.floor(F.col("last") / FAN).alias("last"), F.floor(F.col("idx") / FAN).alias("idx"), F.struct("idx", "digest").alias("child"))
+        grouped = more.groupBy("tree", "idx").agg(F.array_sort(F.collect_list("child")).alias("c"), F.first("last").alias("last"), F.first("height").alias("height"))
+        children = grouped.select("tree", F.lit(len(runs) + 1).alias("level"), "idx", F.array_join("c.digest", "").alias("children"), "last", "height")
         built = materialize(children.withColumn("digest", F.sha2("children", 256)), "runs")
         if built.isEmpty():
             return runs, last
         runs.append(built)
-        nodes = built.select("tree", "idx", "digest")
-        sizes = sizes.where("last > 0").select("tree", F.floor(F.col("last") / FAN).alias("last"))
-        last = last.unionByName(nodes.join(sizes.where("last = 0"), "tree").select("tree", F.lit(len(runs)).alias("height"), "digest"))
+        nodes = built.select("tree", "idx", "digest", "last", "height")
+        last = last.unionByName(nodes.where("last = 0").select("tree", "height", "digest"))
 
 
 class Manifest:
-    """The written trees of ``leaves`` (tree, idx, digest and others).
+    """The written trees of ``leaves`` (tree, idx, digest, last and others).
 
     ``leaves`` and ``runs`` have the link to their parent: its tree, level and index, and the place among its children; the
     link of a language's last node is to the tree of languages, the root has none. ``subroots`` has each tree's last digest.
     """
 
     def __init__(self, leaves: DataFrame):
-        runs, last = levels(leaves.select("tree", "idx", "digest"))
+        runs, last = levels(leaves)
         last = materialize(last, "subroots")
-        upper, top = levels(last.select(F.lit(TOP).cast("long").alias("tree"), F.col("tree").alias("idx"), "digest"))
+        n = last.count()
+        upper, top = levels(last.select(F.lit(TOP).cast("long").alias("tree"), F.col("tree").alias("idx"), "digest", F.lit(n - 1).cast("long").alias("last")))
         self.subroots = last.select("tree", F.col("digest").alias("subroot"))
         root = top.first()
         self.root = root.digest if root else None
-        heights = last.select("tree", "height")
         # The languages' tree has no parents above its last node; one language's last node is the root itself.
         single = root is None or root.height == 0
-        nodes = [x.withColumn("height", F.lit(root.height)) for x in upper]
-        for x in (leaves.withColumn("level", F.lit(0)), *runs):
-            nodes.append(x.join(heights, "tree"))
-        linked = [self._linked(x, single) for x in nodes]
-        self.leaves = linked[len(upper)]
-        both = linked[: len(upper)] + linked[len(upper) + 1 :]
+        self.leaves = self._linked(leaves.withColumn("level", F.lit(0)).withColumn("height", _height()), single)
+        both = [self._linked(x, single) for x in upper + runs]
         columns = ("tree", "level", "idx", "children", "parent_tree", "parent_level", "parent_idx", "place")
         spark = leaves.sparkSession
         self.runs = spark.createDataFrame([], RUNS)

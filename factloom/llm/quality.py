@@ -98,7 +98,7 @@ def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             some = last > first
             starts, ends, first, last = starts[some], ends[some], first[some], last[some]
             text = np.searchsorted(offsets, starts, "right") - 1
-            exact, sizes = _grouped(text, W.range_hashes(data + np.uint16(1), starts, ends))
+            exact, sizes = _grouped(text, W.byte_hashes(data, starts, ends))
             repeated = np.bincount(text, minlength=n) - np.bincount(text[np.unique(exact, return_index=True)[1]], minlength=n)
 
             at = W.windows(w.first, SHINGLE)

@@ -102,7 +102,8 @@ def _spans(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBa
         for lo, hi, data, offsets in W.chunks(pa.array(_unpack(batch.column("body")), pa.large_binary())):
             part = batch.slice(lo, hi - lo)
             w = W.Words(data, offsets)
-            hashes = w.hashes(data)
+            # The two hashes of a window share nothing, from the words up.
+            hashes, other = w.hashes(data), w.hashes(data, _CHECK_BASE)
             at, node, _, nodes = _graph(w, hashes, size)
             flags = part.column("nodes")
             flat = flags.flatten()
@@ -129,7 +130,7 @@ def _spans(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBa
                     W.lists(sure - w.first[sure_text], np.bincount(sure_text, minlength=hi - lo), pa.int32()),
                     W.lists(check - w.first[text], np.bincount(text, minlength=hi - lo), pa.int32()),
                     W.lists(W.window_hashes(hashes, check, size).view(np.int64), np.bincount(text, minlength=hi - lo), pa.int64()),
-                    W.lists(W.range_hashes(hashes, check, check + size, _CHECK_BASE).view(np.int64), np.bincount(text, minlength=hi - lo), pa.int64()),
+                    W.lists(W.range_hashes(other, check, check + size, _CHECK_BASE).view(np.int64), np.bincount(text, minlength=hi - lo), pa.int64()),
                 ],
                 names=["key", "sure", "at", "h1", "h2"],
             )

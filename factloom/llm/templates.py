@@ -68,7 +68,7 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     some = before[w.ends] > before[w.starts]
     starts, ends = w.starts[some], w.ends[some]
     first = np.searchsorted(starts, offsets)
-    value = W.range_hashes(low[core] + np.uint16(1), before[starts], before[ends])
+    value = W.byte_hashes(low[core], before[starts], before[ends])
     head = np.flatnonzero(core)[before[starts]] if len(starts) else starts
     digit = (data[head] >= 48) & (data[head] <= 57)
     capital = ((data[head] >= 65) & (data[head] <= 90)) | np.concatenate((latin, [False]))[head + 1]

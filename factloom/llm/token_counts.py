@@ -4,7 +4,8 @@ A pre-token is a blank mark and a word; it is cut into vocabulary pieces so that
 its bytes as pieces where no piece fits. A task inserts the distinct pre-tokens of a chunk of texts in a trie and goes
 through it level by level: all prefixes of one length at once, each once however many pre-tokens share it. A prefix keeps
 its best score and the pieces of its best cut; those where a pre-token ends are its count. A text's count is the sum over
-its words. Nothing is shuffled, and a chunk bounds the trie.
+its words. Nothing is shuffled, and a chunk bounds the trie. A word of more than ``LONG`` bytes, which shares its prefixes
+with no other, is gone through alone by the same recurrence over its matches.
 
 The pieces are those of a public vocabulary file; nothing is trained. A piece's score is the logarithm of Zipf's share of
 its rank in the file. Of cuts with one score (to a millionth) the one with fewer pieces counts.
@@ -30,6 +31,8 @@ from factloom.session import configure
 BLANK = "▁"
 #: Scores are whole millionths, so that sums are exact and equal cuts are equal.
 UNIT = 1_000_000
+#: Bytes of the longest word that goes into the trie.
+LONG = 256
 _BASE = 0x9FB21C651E98DF25
 
 
@@ -37,6 +40,7 @@ class Pieces:
     """The pieces of a vocabulary by hash of their UTF-8 bytes, and what a byte costs where no piece fits."""
 
     def __init__(self, path: str):
+        import ahocorasick
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -51,6 +55,10 @@ class Pieces:
         order = np.argsort(hashes)
         self.hashes, self.values = hashes[order], np.array(list(self.scores.values()), np.int64)[order]
         self.lengths = sorted({len(t) for t in texts})
+        self.matches = ahocorasick.Automaton()
+        for piece, score in self.scores.items():
+            self.matches.add_word(piece, (len(piece), score))
+        self.matches.make_automaton()
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which hashes are pieces, and their scores."""
@@ -58,6 +66,25 @@ class Pieces:
         return self.hashes[at] == hashes, self.values[at]
 
 
+    def count(self, text: str) -> int:
+        """Number of pieces of one pre-token, by its matches from left to right."""
+        # Score and, negative, pieces of the best cut of each prefix.
+        best = [(0, 0)] * (len(text) + 1)
+        found = self.matches.iter(text)
+        end, match = next(found, (len(text), None))
+        for i, char in enumerate(text):
+            n = len(char.encode())
+            score, minus = best[i]
+            here = (score + n * self.byte, minus - n)
+            while end == i:
+                size, value = match
+                score, minus = best[i + 1 - size]
+                here = max(here, (score + value, minus - 1))
+                end, match = next(found, (len(text), None))
+            best[i + 1] = here
+        return -best[-1][1]
+
+
 _pieces: dict[str, Pieces] = {}
 
 
@@ -74,9 +101,7 @@ def trie_counts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, vocabula
         return np.zeros(0, np.int64)
     lengths = ends - starts
     deepest = int(lengths.max())
-    up, down = W.powers(_BASE, len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data + np.uint16(1)).astype(np.uint64) * up[:-1], out=total[1:])
+    prefixes = W.Prefixes(data + np.uint16(1), _BASE)
     out = np.zeros(n, np.int64)
     # Nodes of the levels that a piece can reach back to: for each pre-token its node, and by node score and pieces.
     back = max(vocabulary.lengths)
@@ -100,7 +125,7 @@ def trie_counts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, vocabula
         for length in (x for x in vocabulary.lengths if x <= depth):
             nodes, scores, counts = levels[depth - length]
             begin = starts[member] + depth - length
-            hit, value = vocabulary.find(W.mix((total[begin + length] - total[begin]) * down[begin]))
+            hit, value = vocabulary.find(prefixes.hashes(begin, begin + length))
             hit &= (data[begin] & 0xC0) != 0x80
             score, count = _better(score, count, np.flatnonzero(hit), scores[nodes[member]] + value, counts[nodes[member]] + 1)
         nodes, scores, counts = levels[depth - 1]
@@ -127,6 +152,11 @@ def _count(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
             _, first, of = np.unique(w.hashes(data), return_index=True, return_inverse=True)
             sizes = w.ends[first] - w.starts[first]
             # The distinct words end to end, each behind a blank mark.
+            # The trie gains nothing on a long word, and would take a round for each of its bytes.
+            long = np.flatnonzero(sizes > LONG)
+            alone = [vocabulary.count(BLANK + data[w.starts[i] : w.ends[i]].tobytes().decode()) for i in first[long]]
+            kept = np.flatnonzero(sizes <= LONG)
+            every, first, sizes = first, first[kept], sizes[kept]
             edges = np.concatenate(([0], np.cumsum(sizes + len(mark))))
             flat = np.empty(edges[-1], np.uint8)
             for i, b in enumerate(mark):
@@ -134,7 +164,9 @@ def _count(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
             source = np.repeat(w.starts[first] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
             target = np.repeat(edges[:-1] + len(mark) - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
             flat[target] = data[source]
-            counts = trie_counts(flat, edges[:-1], edges[1:], vocabulary)
+            counts = np.zeros(len(every), np.int64)
+            counts[kept] = trie_counts(flat, edges[:-1], edges[1:], vocabulary)
+            counts[long] = alone
             tokens = W.sums(counts[of], w.first)
             yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), pa.array(w.counts, pa.int64()), pa.array(tokens, pa.int64())], names=["id", "n_words", "n_tokens"])
 

@@ -1,7 +1,7 @@
 """Words, lines and their 64-bit hashes for whole Arrow batches of texts, as numpy arrays.
 
-A word is ``[^\\x20\\x09-\\x0D]+`` of the UTF-8 bytes. Hashes are polynomials modulo 2^64, taken as differences of
-prefix sums, and mixed; no Python loop runs over words. A chunk holds at most ``CHUNK`` bytes, or one longer text.
+A word is ``[^\\x20\\x09-\\x0D]+`` of the UTF-8 bytes. A word's hash is a sum of its mixed blocks of eight bytes, a window's a
+polynomial of its words' hashes modulo a prime; no Python loop runs over words. A chunk holds at most ``CHUNK`` bytes, or one longer text.
 """
 
 from __future__ import annotations
@@ -13,6 +13,11 @@ import pyarrow as pa
 
 CHUNK = 2 << 20
 _BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_PRIME = (1 << 61) - 1
+_P, _LOW29, _LOW30, _LOW31, _LOW32 = (np.uint64((1 << n) - 1) for n in (61, 29, 30, 31, 32))
+_U29, _U30, _U31, _U32, _U61 = (np.uint64(n) for n in (29, 30, 31, 32, 61))
+#: The lowest n bytes of eight.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -23,28 +28,77 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """64-bit values modulo 2^61 - 1."""
+    x = (x & _P) + (x >> _U61)
+    return np.where(x >= _P, x - _P, x)
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2^61 - 1, of values below it."""
+    a1, a0, b1, b0 = a >> _U31, a & _LOW31, b >> _U31, b & _LOW31
+    middle = a1 * b0 + a0 * b1
+    return _reduced(((a1 * b1) << np.uint64(1)) + (middle >> _U30) + ((middle & _LOW30) << _U31) + a0 * b0)
+
+
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd base and of its inverse modulo 2^64."""
+    """The first n powers of a base and of its inverse modulo 2^61 - 1."""
     have = _powers.get(base)
     if have is None or len(have[0]) < n:
-        size = max(n, CHUNK + 1)
+        size = max(n, CHUNK // 2 + 1)
         both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            x = np.full(size, b, np.uint64)
-            x[0] = 1
-            both.append(np.multiply.accumulate(x))
+        for b in (base % _PRIME, pow(base, -1, _PRIME)):
+            x = np.ones(1, np.uint64)
+            while len(x) < size:
+                x = np.concatenate((x, _product(x, np.uint64(pow(b, len(x), _PRIME)))))
+            both.append(x[:size])
         have = _powers[base] = (both[0], both[1])
         if size > 4 * CHUNK:
             del _powers[base]
     return have[0][:n], have[1][:n]
 
 
+class Prefixes:
+    """Prefix sums of a polynomial modulo the prime 2^61 - 1; differences are hashes of ranges of values."""
+
+    def __init__(self, values: np.ndarray, base: int):
+        up, self.down = powers(base, len(values) + 1)
+        terms = _product(_reduced(values.astype(np.uint64)), up[:-1])
+        self.total = np.zeros(len(values) + 1, np.uint64)
+        # The halves are summed apart, so that no sum wraps around.
+        high = np.cumsum(terms >> _U32)
+        self.total[1:] = _reduced((high >> _U29) + ((high & _LOW29) << _U32) + _reduced(np.cumsum(terms & _LOW32)))
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        span = _reduced(self.total[ends] + (_P - self.total[starts]))
+        return mix(_product(span, self.down[starts]) ^ ((ends - starts).astype(np.uint64) * np.uint64(_BASE)))
+
+
 def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASE) -> np.ndarray:
     """Mixed hash of values[start:end] for each range; depends on the values and their order only."""
-    up, down = powers(base, len(values) + 1)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values.astype(np.uint64) * up[:-1], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts])
+    return Prefixes(values, base).hashes(starts, ends)
+
+
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = _BASE) -> np.ndarray:
+    """Mixed hash of data[start:end] for each range of bytes; depends on the bytes and their order only.
+
+    Eight bytes are mixed with their number in the range before sums are taken, so no pattern of letters cancels out.
+    """
+    sizes = ends - starts
+    blocks = (sizes + 7) >> 3
+    edges = np.concatenate((np.zeros(1, np.int64), np.cumsum(blocks)))
+    if len(starts) and blocks.max() == 1 and blocks.min() == 1:
+        at, number, left = starts, np.zeros(len(starts), np.uint64), sizes
+    else:
+        owner = np.repeat(np.arange(len(starts)), blocks)
+        number = np.arange(edges[-1]) - edges[owner]
+        at = starts[owner] + 8 * number
+        left = np.minimum(ends[owner] - at, 8)
+    padded = np.concatenate((data.view(np.uint8), np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))[at] & _MASKS[left]
+    mixed = mix(mix(eight ^ np.uint64(seed)) + (number.astype(np.uint64) + np.uint64(1)) * np.uint64(_WORD_BASE))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed)))
+    return mix(total[edges[1:]] - total[edges[:-1]] + sizes.astype(np.uint64) * np.uint64(_BASE))
 
 
 def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -89,8 +143,8 @@ class Words:
         self.first = np.searchsorted(self.starts, offsets)
         self.counts = np.diff(self.first)
 
-    def hashes(self, data: np.ndarray) -> np.ndarray:
-        return range_hashes(data + np.uint16(1), self.starts, self.ends)
+    def hashes(self, data: np.ndarray, seed: int = _BASE) -> np.ndarray:
+        return byte_hashes(data, self.starts, self.ends, seed)
 
     def texts(self) -> np.ndarray:
         """The text of each word."""

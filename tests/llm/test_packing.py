@@ -16,7 +16,7 @@ from factloom.llm.bpe import encoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
-LIBRARY.encode_special_tokens = True
+
 
 
 def ids_of(texts):
