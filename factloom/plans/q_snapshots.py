@@ -338,18 +338,27 @@ def stored(i: Inputs, df, label: str, by):
 
 
 @query("put_tree", """
-SELECT repo, tree_key, path, facts_key FROM v_keyed_b
-UNION ALL SELECT repo, tree_key, path, facts_key FROM v_keyed_a WHERE repo = 'alpha'""")
+SELECT 'file' AS what, repo, tree_key, path, facts_key FROM v_keyed_b
+UNION ALL SELECT 'file', repo, tree_key, path, facts_key FROM v_keyed_a WHERE repo = 'alpha'
+UNION ALL SELECT 'delta', repo, tree_key, path, facts_key FROM v_keyed_a WHERE repo = 'alpha'
+UNION ALL SELECT DISTINCT 'commit', repo, tree_key, 'h', CAST(NULL AS STRING) FROM v_keyed_a WHERE repo = 'alpha'""")
 def _(i):
-    # Tree b replaces beta's tree a; alpha keeps both.
+    # Tree b, which has no deltas and no commits, replaces beta's tree a; alpha keeps both. Then a put stops before its entry.
     path = scratch_path(i.spark, "trees")
     cols = ["repo", "tree_key", "path", "facts_key"]
     old = i.v_keyed_a.select(*cols).withColumn("tree_key", F.when(c("repo") == "beta", "worktree:b").otherwise(c("tree_key")))
     new = i.v_keyed_b.select(*cols)
-    commits = i.v_repos.withColumn("ord", F.lit(0)).withColumn("hash", F.lit("h"))
+    commits = old.select("repo", "tree_key").distinct().withColumn("ord", F.lit(0)).withColumn("hash", F.lit("h"))
     src.put_tree(old, old.select("repo", "tree_key", "facts_key", "path"), commits, path)
-    src.put_tree(new, new.select("repo", "tree_key", "facts_key", "path"), commits, path)
-    return src.read_tree_tables(i.spark, f"{path}/tree_files").select(*cols)
+    src.put_tree(new, new.select("repo", "tree_key", "facts_key", "path").limit(0), commits.limit(0), path)
+    for table in src.TREE_TABLES:
+        old.write.partitionBy("repo", "tree_key").parquet(f"{path}/{table}/version=stopped")
+    keyed = "repo string,tree_key string,path string,facts_key string"
+    files, deltas = (src.read_trees(i.spark, path, t, keyed).select(*cols) for t in ("tree_files", "file_facts"))
+    hashes = src.read_trees(i.spark, path, "tree_commits", "repo string,tree_key string,ord int,hash string")
+    hashes = hashes.select("repo", "tree_key", c("hash").alias("path"), F.lit(None).cast("string").alias("facts_key"))
+    parts = [rows.select(F.lit(what).alias("what"), *cols) for what, rows in (("file", files), ("delta", deltas), ("commit", hashes))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("strangers", """

@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import re
+import time
+import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from factloom import schemas
 from factloom.fixed import DOT_FOLDERS, TOP_DOT_FOLDERS
 from factloom.functions import columns as C
 from factloom.operators.ordered import KEYS, last_by
+from factloom.sources.versions import Log
 
 FORMAT_VERSION = 1
 
@@ -204,19 +209,99 @@ def strangers(deltas: DataFrame, files: DataFrame, keys: Sequence[str] = KEYS) -
     return deltas.join(files, [*keys, "path"], "left_anti")
 
 
+TREE_TABLES = ("tree_files", "tree_commits", "file_facts")
+
+
+def tree_log(spark: SparkSession, path: str) -> Log:
+    """The commits of a snapshot store; an entry is the version that a put wrote."""
+    return Log(spark, f"{path}/log")
+
+
 def put_tree(
-    files: DataFrame, deltas: DataFrame, commits: DataFrame, path: str, keys: Sequence[str] = KEYS
-) -> None:
+    files: DataFrame, deltas: DataFrame, commits: DataFrame, path: str, keys: Sequence[str] = KEYS,
+    trees: DataFrame | None = None, after: int | None = None,
+) -> int:
     """Replace whole trees: files, commits in order, deltas. Refuses a delta of a file outside its tree.
 
-    deltas (keys, facts_key, path, …), commits (keys, ord, hash, …).
+    deltas (keys, facts_key, path, …), commits (keys, ord, hash, …). The trees are those of files and commits, and those
+    of ``trees`` (keys), which may be left empty. All are replaced at once, by the entry of the log that is made last: a
+    put that stops before leaves every old tree whole, and a tree keeps no row of what it replaced. Of puts at the same
+    time the later entry holds; with ``after``, the number of the last entry the caller has seen, a put fails with
+    ``Conflict`` if there is a newer one. Returns the entry's number.
     """
+    spark = files.sparkSession
+    keys = list(keys)
     stranger = strangers(deltas, files, keys).select(*keys, "path").first()
     if stranger is not None:
         raise ValueError(f"delta for {stranger['path']}, which is not a file of {stranger[len(keys) - 1]}")
-    write_partitioned(files, f"{path}/tree_files", keys)
-    write_partitioned(commits, f"{path}/tree_commits", keys)
-    write_partitioned(deltas, f"{path}/file_facts", keys)
+    version = uuid.uuid4().hex
+    named = files.select(*keys).unionByName(commits.select(*keys))
+    if trees is not None:
+        named = named.unionByName(trees.select(*keys))
+    for table, rows in zip(TREE_TABLES, (files, commits, deltas), strict=True):
+        rows.hint("rebalance", *keys).write.partitionBy(*keys).parquet(f"{path}/{table}/version={version}")
+    named.distinct().write.parquet(f"{path}/trees/version={version}")
+    return tree_log(spark, path).append(version, after)
+
+
+def current_trees(spark: SparkSession, path: str, keys: Sequence[str] = KEYS, at: int | None = None) -> DataFrame:
+    """(keys, version) of each tree as of the last entry of the log, or of entry ``at``."""
+    keys = list(keys)
+    entries = {n: v for n, v in tree_log(spark, path).entries().items() if at is None or n <= at}
+    schema = ",".join(f"`{k}` string" for k in keys)
+    if not entries:
+        return spark.createDataFrame([], f"{schema},version string")
+    order = spark.createDataFrame([(v, n) for n, v in entries.items()], "version string,_n bigint")
+    # Only folders of versions in the log are read.
+    named = spark.read.option("basePath", f"{path}/trees").schema(f"{schema},version string").parquet(*[f"{path}/trees/version={v}" for v in entries.values()])
+    return last_by(named.join(F.broadcast(order), "version"), keys, ["_n"]).select(*keys, "version")
+
+
+def read_trees(spark: SparkSession, path: str, table: str, schema: str, keys: Sequence[str] = KEYS, at: int | None = None) -> DataFrame:
+    """The rows of the current trees of a table, with columns ``schema`` (the keys among them)."""
+    now = current_trees(spark, path, keys, at)
+    columns = [f.name for f in StructType.fromDDL(schema).fields]
+    try:
+        rows = spark.read.schema(f"{schema},version string").parquet(f"{path}/{table}")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+    return rows.join(now, [*keys, "version"]).select(*columns)
+
+
+def compact_trees(spark: SparkSession, path: str, schemas_of: dict[str, str], keys: Sequence[str] = KEYS) -> int:
+    """Write the current trees as one version, so that all others can be pruned. Fails with ``Conflict``, and changes nothing,
+    if a put came in between."""
+    last = (tree_log(spark, path).numbers() or [-1])[-1]
+    tables = [read_trees(spark, path, t, schemas_of[t], keys, last) for t in TREE_TABLES]
+    return put_tree(tables[0], tables[2], tables[1], path, keys, current_trees(spark, path, keys, last), last)
+
+
+def prune_trees(spark: SparkSession, path: str, keys: Sequence[str] = KEYS, older_ms: int = 86_400_000) -> list[str]:
+    """Remove versions that no tree is on, and those of puts that never came to their entry; returns them.
+
+    Younger versions than ``older_ms`` stay, for a put may be on its way to its entry, or a reader in the old one. A
+    version's tables go before its entry: a prune that stops half-way leaves an entry of which no tree is current.
+    """
+    log = tree_log(spark, path)
+    entries = log.entries()
+    # One row per version that is still in use, not per tree.
+    used = {r.version for r in current_trees(spark, path, keys).select("version").distinct().collect()}
+    newest = time.time() * 1000 - older_ms
+    stale = set()
+    for table in (*TREE_TABLES, "trees"):
+        stale |= {v for v, changed in log.folders(f"{path}/{table}", "version=").items() if changed < newest}
+    stale -= used | {v for n, v in entries.items() if n == max(entries)}
+    for version in sorted(stale):
+        for table in TREE_TABLES:
+            log.drop(f"{path}/{table}/version={version}")
+    for n, version in entries.items():
+        if version in stale:
+            log.remove(n)
+    for version in sorted(stale):
+        log.drop(f"{path}/trees/version={version}")
+    return sorted(stale)
 
 
 def upsert(old: DataFrame, new: DataFrame, pk: Sequence[str], version: str) -> DataFrame:
