@@ -521,7 +521,7 @@ def _(i):
 TRIGGER_CASE = "CASE event_id % 18 " + " ".join(f"WHEN {n} THEN '{t}'" for n, (_, t, _x) in enumerate(fixed.TRANSITIONS)) + " END"
 STATE_CASE = "CASE (event_id * 7) % 11 " + " ".join(f"WHEN {n} THEN '{s}'" for n, s in enumerate(fixed.SESSION_STATES)) + " END"
 VIEWS["v_triggers"] = f"""
-SELECT 'u' || CAST(user_id AS STRING) AS session, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS seq, {TRIGGER_CASE} AS "trigger", {STATE_CASE} AS state FROM events"""
+SELECT 'u' || CAST(user_id AS STRING) AS session, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS seq, {TRIGGER_CASE} AS "trigger", {STATE_CASE} AS state, ts FROM events"""
 EDGES = "(VALUES " + ", ".join(f"('{a}', '{t}', '{b}')" for a, t, b in fixed.TRANSITIONS) + ") AS e(state, trg, nxt)"
 
 

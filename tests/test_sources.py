@@ -116,17 +116,6 @@ def test_late_changes_are_dropped_and_counted(spark):
     assert late == 1
 
 
-def test_the_lifecycle_stream_keeps_its_state(spark):
-    schema = "session string,seq bigint,trigger string"
-    parts = [[("s", 1, "delegate"), ("s", 2, "answer")], [("s", 3, "ask")], [("s", 4, "answer"), ("t", 1, "save-plan")]]
-    out = scratch_path(spark, "out")
-    stream = lifecycle.lifecycle_stream(arrive(spark, parts, schema, "life"))
-    save = lambda df, n: df.write.mode("overwrite").parquet(f"{out}/rows/epoch={n}")
-    stream.writeStream.outputMode("update").foreachBatch(save).trigger(availableNow=True).option("checkpointLocation", out + "/c").start().awaitTermination()
-    got = spark.read.parquet(out + "/rows").groupBy("session").agg(F.max_by(F.struct("state", "illegal"), "epoch").alias("v")).collect()
-    assert {r["session"]: tuple(r["v"]) for r in got} == {"s": ("running", 1), "t": ("yours", 0)}
-
-
 def test_late_rows_of_more_batches_than_progress_keeps(spark):
     path, out = scratch_path(spark, "late"), scratch_path(spark, "out")
     counter = SB.LateRows()
