@@ -41,7 +41,7 @@ SMALL = 16
 PROBES = 6
 #: Shingles that a fragment holds about, and bits of the most fragments in which overlaps are counted; beyond these, sets
 #: are also dealt to blocks.
-FRAGMENT, OVERLAP_BITS = 4_000_000, 6
+FRAGMENT, OVERLAP_BITS = 2_000_000, 7
 _SHORT_BASE, _SET_BASE = 0x8EBC6AF09C88C6E3, np.uint64(0x589965CC75374CC3)
 
 
