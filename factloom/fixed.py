@@ -94,12 +94,9 @@ OVERLAY_CHANNELS = {"sessions": "outline", "plan": "fill", "findings": "fill", "
 FOLD_ITEM_THRESHOLD = 80
 FOLD_SCALE_FLOOR = 0.7
 
-# Declaration lines counted by kind: a prefix, the keyword, a name; and macro_rules on its own.
+# Declaration lines are counted by the keyword before the name, which these words may come before; and macro_rules on its own.
 DECL_KINDS = ["fn", "struct", "enum", "trait", "type", "const", "static", "mod"]
-DECL_PREFIX = (
-    r"^\s*(pub(\([^)]*\))?\s+)?(default\s+)?(const\s+)?(async\s+)?(unsafe\s+)?(extern\s+(\"[^\"]*\"\s+)?)?"
-)
-DECL_LINE = DECL_PREFIX + r"(fn|struct|enum|trait|type|const|static|mod|union)\s+[A-Za-z_]"
+DECL_MODIFIERS = ["pub", "default", "const", "async", "unsafe", "extern"]
 
 # Dot folders that a scan of files enters: at any level, and at the top alone.
 DOT_FOLDERS = (".arch",)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -410,6 +412,16 @@ def ancestors(path: Column) -> Column:
     )
 
 
+#: What a word before a declaration's keyword takes along.
+_TAKES = {"pub": r"(?:\([^)]*\))?", "extern": r'(?:\s+"[^"]*")?'}
+
+
+def declaration_line(kinds: Sequence[str]) -> str:
+    """The pattern of a line with nothing but modifiers before one of the keywords and a name."""
+    before = "|".join(word + _TAKES.get(word, "") for word in fixed.DECL_MODIFIERS)
+    return rf"^\s*(?:(?:{before})\s+)*(?:{'|'.join(kinds)})\s+[A-Za-z_]"
+
+
 def declarations(text: Column) -> dict[str, Column]:
     """Counts of declaration lines by kind, ``decls`` for all kinds, ``lines`` for newlines."""
     lines = F.split(text, "\n")
@@ -417,7 +429,7 @@ def declarations(text: Column) -> dict[str, Column]:
     def matching(pattern: str) -> Column:
         return F.size(F.filter(lines, lambda l: l.rlike(pattern))).cast("bigint")
 
-    out = {kind: matching(fixed.DECL_PREFIX + kind + r"\s+[A-Za-z_]") for kind in fixed.DECL_KINDS}
-    out["decls"] = matching("(?:" + fixed.DECL_LINE + r"|^\s*macro_rules!\s)")
+    out = {kind: matching(declaration_line([kind])) for kind in fixed.DECL_KINDS}
+    out["decls"] = matching("(?:" + declaration_line([*fixed.DECL_KINDS, "union"]) + r"|^\s*macro_rules!\s)")
     out["lines"] = (F.size(lines) - 1).cast("bigint")
     return out

@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from factloom.operators.ordered import KEYS
+from factloom.operators.ordered import KEYS, numbered
 from factloom.session import materialize, scratch_path
 
 
@@ -84,11 +84,75 @@ def reachable(
     return frontier(starts.select(*columns, "node"), step, [*columns, "node"], hops=hops, label=label)
 
 
+#: Starts that one row of a node knows of.
+WORD = 64
+#: Parts in which a key's starts are numbered.
+CHUNKS = 64
+
+
+def reach_words(
+    edges: DataFrame,
+    starts: DataFrame,
+    keys: Sequence[str] = KEYS,
+    max_rounds: int | None = None,
+    first_edges: DataFrame | None = None,
+    steps: int = 1,
+    label: str = "reach",
+) -> tuple[DataFrame, DataFrame]:
+    """What each start reaches, 64 starts to a row: (keys, word, node, bits, hops) and (keys, word, starts).
+
+    edges (keys, from, to) and starts (keys, node). Starts are numbered; number n is bit n % 64 of word n / 64. A round joins
+    the newest bits of a node with its edges and keeps, per node and word, the bits not seen before, with the round as
+    ``hops``. So the rows of a round grow with the edges out of newly reached nodes and a 64th of the starts, not with pairs.
+    ``first_edges`` are followed in the first round only, beside ``edges``. With more ``steps`` a round goes so many edges far
+    before it writes, and ``hops`` counts rounds.
+    """
+    keys = list(keys)
+    spark = starts.sparkSession
+    links = materialize(_edges(edges, keys), label + "-edges")
+    named = starts.select(*keys, "node").distinct()
+    ranked = numbered(named, keys, ["node"], F.pmod(F.xxhash64("node"), F.lit(CHUNKS)), "_n").withColumn("_n", F.col("_n") - 1)
+    ranked = materialize(ranked.select(*keys, "node", F.floor(F.col("_n") / WORD).alias("word"), (F.col("_n") % WORD).cast("int").alias("_bit")), label + "-numbers")
+    words = ranked.groupBy(*keys, "word").agg(F.array_sort(F.collect_list(F.struct("_bit", "node"))).alias("_l")).select(*keys, "word", F.col("_l.node").alias("starts"))
+    base, on = scratch_path(spark, label), [*keys, "word", "node"]
+    schema = ranked.select(*on, F.lit(0).cast("bigint").alias("bits"), F.lit(0).cast("bigint").alias("hops")).schema
+
+    def save(df: DataFrame, n: int) -> tuple[DataFrame, int]:
+        counted = Observation()
+        df.select(*on, "bits", F.lit(n).cast("bigint").alias("hops")).observe(counted, F.count(F.lit(1)).alias("rows")).write.parquet(f"{base}/round={n}")
+        return spark.read.schema(schema).parquet(f"{base}/round={n}"), counted.get["rows"]
+
+    one = ranked.groupBy(*on).agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("bits"))
+    fresh, rows = save(one, 0)
+    paths = [f"{base}/round=0"]
+    while rows and (max_rounds is None or len(paths) <= max_rounds):
+        way = links
+        if first_edges is not None and len(paths) == 1:
+            way = links.unionByName(_edges(first_edges, keys)).distinct()
+        found, newest = None, fresh.select(*on, "bits")
+        for _ in range(steps):
+            newest = newest.withColumnRenamed("node", "_from").join(way, [*keys, "_from"])
+            newest = newest.groupBy(*keys, "word", F.col("_to").alias("node")).agg(F.bit_or("bits").alias("bits"))
+            found, way = newest if found is None else found.unionByName(newest), links
+        met = found.groupBy(*on).agg(F.bit_or("bits").alias("_met")) if steps > 1 else found.withColumnRenamed("bits", "_met")
+        seen = spark.read.schema(schema).parquet(*paths).groupBy(*on).agg(F.bit_or("bits").alias("_seen"))
+        new = met.join(seen, on, "left").withColumn("bits", F.expr("_met & ~coalesce(_seen, 0L)")).filter("bits != 0")
+        fresh, rows = save(new, len(paths))
+        paths.append(f"{base}/round={len(paths)}")
+    return spark.read.schema(schema).parquet(*paths), words
+
+
+def start_pairs(reached: DataFrame, words: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """(keys, start, node, hops) of what ``reach_words`` gives. Rows meet the names of their word's starts before they are
+    spread out, so pairs are not shuffled."""
+    held = F.filter("starts", lambda _, n: F.expr("bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), n)) != 0)
+    return reached.join(words, [*keys, "word"]).select(*keys, F.explode(held).alias("start"), "node", "hops")
+
+
 def closure(
     edges: DataFrame,
     starts: DataFrame,
     keys: Sequence[str] = KEYS,
-    hops: int = 2,
     first_edges: DataFrame | None = None,
     label: str = "closure",
 ) -> DataFrame:
@@ -96,21 +160,7 @@ def closure(
 
     ``first_edges`` are followed in the first step only.
     """
-    links = materialize(_edges(edges, keys), label + "-edges")
-    seed = starts.select(*keys, F.col("node").alias("start"), "node").distinct()
-    if first_edges is not None:
-        first = _edges(first_edges, keys)
-        hop = seed.join(first.withColumnRenamed("_from", "node"), [*keys, "node"])
-        seed = seed.unionByName(hop.select(*keys, "start", F.col("_to").alias("node")))
-
-    def step(fresh: DataFrame) -> DataFrame:
-        return (
-            fresh.withColumnRenamed("node", "_from")
-            .join(links, [*keys, "_from"])
-            .select(*keys, "start", F.col("_to").alias("node"))
-        )
-
-    return frontier(seed, step, [*keys, "start", "node"], hops=hops, label=label)
+    return start_pairs(*reach_words(edges, starts, keys, None, first_edges, 2, label), keys).drop("hops")
 
 
 def package_closure(
@@ -195,19 +245,8 @@ def reach(
     both = links.select(*keys, "from", "to").unionByName(
         links.select(*keys, F.col("to").alias("from"), F.col("from").alias("to"))
     )
-    edges = materialize(_edges(both, keys), "reach-edges")
-    seed = foci.select(*keys, "focus").distinct().select(
-        *keys, "focus", F.col("focus").alias("node"), F.lit(0).cast("bigint").alias("hops")
-    )
-
-    def step(fresh: DataFrame) -> DataFrame:
-        return (
-            fresh.withColumnRenamed("node", "_from")
-            .join(edges, [*keys, "_from"])
-            .select(*keys, "focus", F.col("_to").alias("node"), (F.col("hops") + 1).alias("hops"))
-        )
-
-    return frontier(seed, step, [*keys, "focus", "node"], max_rounds=depth, label="reach")
+    found = start_pairs(*reach_words(both, foci.select(*keys, F.col("focus").alias("node")), keys, depth), keys)
+    return found.withColumnRenamed("start", "focus")
 
 
 def top_module(module: Column) -> Column:

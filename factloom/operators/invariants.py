@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Collection, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -285,38 +285,37 @@ def load_input(items: DataFrame, links: DataFrame, entries: DataFrame, keys: Seq
     return seen, drawn
 
 
-def check_all(view: dict[str, DataFrame], reach_at: int = 2, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Every check the tables at hand allow, as one table of violations."""
-    has = lambda *names: all(n in view for n in names)
-    v = view
-    out = []
-    if has("base_items", "base_positions"):
-        out.append(positions_stable(v["items"], v["positions"], v["base_items"], v["base_positions"], keys))
-    if has("areas", "units"):
-        out.append(columns_are_sides(v["items"], v["areas"], v["units"], keys))
-    if has("with_overlays", "positions", "overlays"):
-        out.append(no_state_relayout(v["with_overlays"], v["positions"], v["overlays"], keys))
-    if has("fold"):
-        out.append(fold_floor(v["fold"], keys))
-    if has("areas", "findings", "chip_links"):
-        out.append(folded_link_counts(v["items"], v["links"], v["areas"], v["findings"], v["chip_links"], keys))
-    if has("reach"):
-        out.append(reach_depth(v["items"], v["links"], v["reach"], reach_at, keys))
-    if has("overlays"):
-        out.append(overlay_stacking(v["overlays"], keys))
-    if has("pills"):
-        out.append(unresolved_one_pill(v["items"], v["links"], v["pills"], keys))
-    if has("units", "findings"):
-        out.append(direction_marked(v["items"], v["links"], v["units"], v["findings"], keys))
-        out.append(column_rule_from_entry(v["units"], keys))
-    out.append(cross_unit_public(v["items"], v["links"], keys))
-    if has("ports", "externals"):
-        out.append(externals_on_rails(v["ports"], v["externals"], v["items"], keys))
-    if has("positions", "without_rails"):
-        out.append(rail_docking(v["positions"], v["without_rails"], keys))
-    if has("ports", "externals", "rail_edges"):
-        out.append(ports_from_facts(v["ports"], v["externals"], v["rail_edges"], keys))
-    if has("findings"):
-        out.append(finding_confidence(v["findings"], v["links"], keys))
-        out.append(origin_is_core(v["findings"], keys))
-    return reduce(DataFrame.unionByName, out)
+def checks_of(v: dict[str, DataFrame], reach_at: int, keys: Sequence[str]) -> dict[str, tuple[tuple[str, ...], Callable[[], DataFrame]]]:
+    """Each check: the tables it reads, and how it is run."""
+    return {
+        "positions_stable": (("items", "positions", "base_items", "base_positions"), lambda: positions_stable(v["items"], v["positions"], v["base_items"], v["base_positions"], keys)),
+        "columns_are_sides": (("items", "areas", "units"), lambda: columns_are_sides(v["items"], v["areas"], v["units"], keys)),
+        "no_state_relayout": (("with_overlays", "positions", "overlays"), lambda: no_state_relayout(v["with_overlays"], v["positions"], v["overlays"], keys)),
+        "fold_floor": (("fold",), lambda: fold_floor(v["fold"], keys)),
+        "folded_link_counts": (("items", "links", "areas", "findings", "chip_links"), lambda: folded_link_counts(v["items"], v["links"], v["areas"], v["findings"], v["chip_links"], keys)),
+        "reach_depth": (("items", "reach_links", "reach"), lambda: reach_depth(v["items"], v["reach_links"], v["reach"], reach_at, keys)),
+        "overlay_stacking": (("overlays",), lambda: overlay_stacking(v["overlays"], keys)),
+        "unresolved_one_pill": (("items", "links", "pills"), lambda: unresolved_one_pill(v["items"], v["links"], v["pills"], keys)),
+        "direction_marked": (("items", "links", "units", "findings"), lambda: direction_marked(v["items"], v["links"], v["units"], v["findings"], keys)),
+        "column_rule_from_entry": (("entry_units",), lambda: column_rule_from_entry(v["entry_units"])),
+        "cross_unit_public": (("items", "links"), lambda: cross_unit_public(v["items"], v["links"], keys)),
+        "externals_on_rails": (("ports", "externals", "items"), lambda: externals_on_rails(v["ports"], v["externals"], v["items"], keys)),
+        "rail_docking": (("positions", "without_rails"), lambda: rail_docking(v["positions"], v["without_rails"], keys)),
+        "ports_from_facts": (("ports", "externals", "rail_edges"), lambda: ports_from_facts(v["ports"], v["externals"], v["rail_edges"], keys)),
+        "finding_confidence": (("findings", "links"), lambda: finding_confidence(v["findings"], v["links"], keys)),
+        "origin_is_core": (("findings",), lambda: origin_is_core(v["findings"], keys)),
+    }
+
+
+def check_all(view: dict[str, DataFrame], reach_at: int = 2, keys: Sequence[str] = KEYS, skip: Collection[str] = ()) -> DataFrame:
+    """Every check as one table of violations. A table that is absent fails, unless ``skip`` names the checks that read it.
+
+    ``reach_links`` are the links that Reach sets are drawn over, if others than ``links``; ``entry_units`` the units with
+    their rule, override and entry flag, if others than ``units``.
+    """
+    view = {"reach_links": view.get("links"), "entry_units": view.get("units")} | view
+    checks = {n: x for n, x in checks_of(view, reach_at, keys).items() if n not in skip}
+    absent = {n: [t for t in tables if view.get(t) is None] for n, (tables, _) in checks.items()}
+    if missing := {n: t for n, t in absent.items() if t}:
+        raise ValueError(f"tables that checks need are absent: {missing}")
+    return reduce(DataFrame.unionByName, [run() for _, run in checks.values()])

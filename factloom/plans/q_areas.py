@@ -388,10 +388,10 @@ r AS (SELECT repo, f, t FROM e UNION SELECT r.repo, r.f, e.t FROM r JOIN e ON e.
 s AS (SELECT a.repo, a.f AS area, least(min(a.t), a.f) AS cyc FROM r a JOIN r b ON b.repo = a.repo AND b.f = a.t AND b.t = a.f WHERE a.f <> a.t GROUP BY a.repo, a.f),
 g AS (SELECT repo, cyc, string_agg(area, ',' ORDER BY area) AS areas, count(*) AS n FROM s GROUP BY repo, cyc),
 x AS (SELECT e.repo, a.cyc, g.areas, g.n, e.f, e.t, e.links, e.bad FROM e JOIN s a ON a.repo = e.repo AND a.area = e.f JOIN s b ON b.repo = e.repo AND b.area = e.t AND b.cyc = a.cyc JOIN g ON g.repo = e.repo AND g.cyc = a.cyc),
-w AS (SELECT repo, cyc, area, sum(d) AS d FROM (SELECT repo, cyc, f AS area, -links AS d FROM x UNION ALL SELECT repo, cyc, t, links FROM x) y GROUP BY ALL),
-z AS (SELECT x.*, row_number() OVER (PARTITION BY x.repo, x.cyc ORDER BY x.links, -x.bad, x.f) AS rn, (wf.d > wt.d OR (wf.d = wt.d AND wf.area > wt.area)) AS against
+w AS (SELECT repo, cyc, area, sum(d) AS d, sum(b) AS b FROM (SELECT repo, cyc, f AS area, -links AS d, bad AS b FROM x UNION ALL SELECT repo, cyc, t, links, -bad FROM x) y GROUP BY ALL),
+z AS (SELECT x.*, (wf.d > wt.d OR (wf.d = wt.d AND (wf.b > wt.b OR (wf.b = wt.b AND wf.area > wt.area)))) AS against
   FROM x JOIN w wf ON wf.repo = x.repo AND wf.cyc = x.cyc AND wf.area = x.f JOIN w wt ON wt.repo = x.repo AND wt.cyc = x.cyc AND wt.area = x.t)
-SELECT repo, cyc AS "cycle", areas, f AS from_area, t AS target_area, links, bad AS forbidden, n = 2 AS cut_exact FROM z WHERE CASE WHEN n = 2 THEN rn = 1 ELSE against END""")
+SELECT repo, cyc AS "cycle", areas, f AS from_area, t AS target_area, links, bad AS forbidden FROM z WHERE against""")
 def _(i):
     linked = rules.rule_links(i.v_items, i.v_all_links, i.v_externals, i.v_ports, i.v_areas)
     return lints.area_cycles(linked, c("line") % 3 == 0).withColumn("areas", F.array_join("areas", ",")).drop("tree_key")

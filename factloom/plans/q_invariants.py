@@ -331,7 +331,7 @@ def _(i):
 
 ALL = [
     "positions_stable", "columns_are_sides", "no_state_relayout", "folded_link_counts", "overlay_stacking", "unresolved_one_pill", "direction_marked", "cross_unit_public", "externals_on_rails",
-    "rail_docking", "ports_from_facts", "finding_confidence", "origin_is_core",
+    "rail_docking", "ports_from_facts", "finding_confidence", "origin_is_core", "fold_floor", "reach_depth", "column_rule_from_entry",
 ]
 
 
@@ -339,7 +339,7 @@ ALL = [
 SELECT repo, invariant, CAST(count(*) AS BIGINT) AS violations FROM (""" + " UNION ALL ".join(f"SELECT repo, invariant, message FROM ({CHECKS[n]}) x_{n}" for n in ALL) + ") x GROUP BY ALL")
 def _(i):
     view = dict(
-        items=i.v_inv_items, links=i.v_inv_links, areas=i.v_inv_areas, units=units(i).withColumn("rule_override", c("rule")).withColumn("has_entry", F.lit(True)),
+        items=i.v_inv_items, links=i.v_inv_links, areas=i.v_inv_areas, units=units(i), entry_units=i.v_many_units, fold=i.v_fold, reach=i.v_inv_reach, reach_links=i.v_reach_links,
         base_items=i.v_old_items, base_positions=i.v_base_positions, positions=i.v_positions, with_overlays=i.v_with_overlays, without_rails=i.v_without_rails, overlays=i.v_overlays,
         pills=i.v_inv_pills, findings=i.v_inv_findings, chip_links=i.v_inv_chips, ports=i.v_inv_ports, externals=i.v_inv_externals, rail_edges=i.v_rail_edges,
     )

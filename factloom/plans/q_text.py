@@ -131,18 +131,18 @@ VIEWS["v_code_lines"] = """SELECT repo, path, unnest(string_split(text, chr(10))
 
 
 def _decl_sql(kind: str) -> str:
-    return f"CAST(count(*) FILTER (WHERE regexp_matches(l, '{fixed.DECL_PREFIX}{kind}\\s+[A-Za-z_]')) AS BIGINT) AS \"{kind}\""
+    return f"CAST(count(*) FILTER (WHERE regexp_matches(l, '{C.declaration_line([kind])}')) AS BIGINT) AS \"{kind}\""
 
 
 @query("count_declarations", "SELECT repo, path, " + ", ".join(_decl_sql(k) for k in fixed.DECL_KINDS) + f""",
-  CAST(count(*) FILTER (WHERE regexp_matches(l, '{fixed.DECL_LINE}') OR regexp_matches(l, '^\\s*macro_rules!\\s')) AS BIGINT) AS decls, CAST(count(*) - 1 AS BIGINT) AS lines FROM v_code_lines GROUP BY repo, path""")
+  CAST(count(*) FILTER (WHERE regexp_matches(l, '{C.declaration_line([*fixed.DECL_KINDS, "union"])}') OR regexp_matches(l, '^\\s*macro_rules!\\s')) AS BIGINT) AS decls, CAST(count(*) - 1 AS BIGINT) AS lines FROM v_code_lines GROUP BY repo, path""")
 def _(i):
     return i.v_code.select("repo", "path", *[v.alias(k) for k, v in C.declarations(c("text")).items()])
 
 
 @query("measured_sizes", f"""
 SELECT repo, CAST(count(DISTINCT path) AS BIGINT) AS files, CAST(count(*) - count(DISTINCT path) AS BIGINT) AS lines,
-  CAST(count(*) FILTER (WHERE regexp_matches(l, '{fixed.DECL_LINE}') OR regexp_matches(l, '^\\s*macro_rules!\\s')) AS BIGINT) AS decls FROM v_code_lines GROUP BY repo""")
+  CAST(count(*) FILTER (WHERE regexp_matches(l, '{C.declaration_line([*fixed.DECL_KINDS, "union"])}') OR regexp_matches(l, '^\\s*macro_rules!\\s')) AS BIGINT) AS decls FROM v_code_lines GROUP BY repo""")
 def _(i):
     counted = i.v_code.select("repo", *[v.alias(k) for k, v in C.declarations(c("text")).items()])
     return counted.groupBy("repo").agg(F.count(F.lit(1)).alias("files"), F.sum("lines").alias("lines"), F.sum("decls").alias("decls"))

@@ -243,7 +243,11 @@ def test_changed_files_flags_a_path_listed_twice(spark):
 def test_three_areas_in_a_cycle(spark):
     linked = spark.createDataFrame([("r", "t", a, b) for a, b in ["xy"] * 5 + ["yz"] * 4 + ["zx"] + ["xw"]], "repo string,tree_key string,from_area string,target_area string")
     got = lints.area_cycles(linked).collect()
-    assert [(r["cycle"], r["areas"], r["from_area"], r["target_area"], r["links"], r["cut_exact"]) for r in got] == [("x", ["x", "y", "z"], "z", "x", 1, False)]
+    assert [(r["cycle"], r["areas"], r["from_area"], r["target_area"], r["links"]) for r in got] == [("x", ["x", "y", "z"], "z", "x", 1)]
+    # Two areas: the direction with fewer links goes; of as many, the one with more forbidden ones.
+    pair = lambda rows: {(r["from_area"], r["target_area"]) for r in lints.area_cycles(spark.createDataFrame([("r", "t", *x) for x in rows], "repo string,tree_key string,from_area string,target_area string,bad boolean"), F.col("bad")).collect()}
+    assert pair([("a", "b", False), ("a", "b", False), ("b", "a", True)]) == {("b", "a")}
+    assert pair([("a", "b", True), ("b", "a", False)]) == {("a", "b")} and pair([("a", "b", False), ("b", "a", True)]) == {("b", "a")}
 
 
 def test_nothing_is_expected_of_repos_without_findings(spark):
