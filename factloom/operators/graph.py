@@ -345,15 +345,42 @@ def spawned_workers(
     ).select(*keys, "target", "owner", "file", "line", F.coalesce("_main", F.lit(False)).alias("in_main"))
 
 
+def chains(deps: DataFrame, nodes: DataFrame, keys: Sequence[str] = KEYS) -> tuple[DataFrame, DataFrame]:
+    """(keys, id, head, steps) of the nodes in chains, and (keys, id) of those in closed rings of them.
+
+    A chain link is a node's only dependency, a known node that nothing else depends on. Pointers along the links are
+    doubled, so a chain of n nodes takes log n rounds. deps (keys, id, depends_on), nodes (keys, id).
+    """
+    one = lambda by: deps.groupBy(*keys, by).agg(F.count(F.lit(1)).alias("_n")).filter("_n = 1").drop("_n")
+    links = (
+        deps.join(one("id"), [*keys, "id"], "left_semi").join(one("depends_on"), [*keys, "depends_on"], "left_semi")
+        .join(nodes.withColumnRenamed("id", "depends_on"), [*keys, "depends_on"], "left_semi")
+        .select(*keys, "id", F.col("depends_on").alias("head"), F.lit(1).cast("bigint").alias("steps"))
+    )
+    links = materialize(links, "chain-links")
+    total, reached = links.count(), 1
+    further = lambda rows: rows.select(*keys, F.col("id").alias("head"), F.col("head").alias("_to"), F.col("steps").alias("_more"))
+    moved = total
+    while moved and reached <= total:
+        seen = Observation()
+        joined = links.join(further(links), [*keys, "head"], "left").observe(seen, F.count_if(F.col("_to").isNotNull()).alias("moved"))
+        links = materialize(joined.select(*keys, "id", F.coalesce("_to", "head").alias("head"), (F.col("steps") + F.coalesce("_more", F.lit(0))).alias("steps")), "chain-links")
+        moved, reached = seen.get["moved"], 2 * reached
+    # A pointer that has gone further than there are links and still is at a link is in a ring.
+    ring = links.join(links.select(*keys, F.col("id").alias("head")), [*keys, "head"], "left_semi").select(*keys, "id")
+    return links.join(ring, [*keys, "id"], "left_anti"), ring
+
+
 def topological_layers(
     nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = KEYS
 ) -> DataFrame:
     """(id, pos, layer, error): layer 1 depends on nothing, layer n only on earlier ones.
 
     nodes (keys, id, pos); edges (keys, id, depends_on). A node that depends on an unknown one, or sits on or
-    behind a cycle, has no layer and says so in ``error``.
+    behind a cycle, has no layer and says so in ``error``. Chains are folded into their heads first, so the rounds are as
+    many as the longest way has nodes that branch or join.
     """
-    spark = nodes.sparkSession
+    spark, keys = nodes.sparkSession, list(keys)
     base = scratch_path(spark, "layers")
     ids = nodes.select(*keys, "id")
     deps = materialize(edges.select(*keys, "id", "depends_on").distinct(), "deps")
@@ -361,28 +388,36 @@ def topological_layers(
         deps.join(ids.withColumnRenamed("id", "depends_on"), [*keys, "depends_on"], "left_anti")
         .groupBy(*keys, "id").agg(F.min("depends_on").alias("_unknown"))
     )
-    wanted = materialize(deps.groupBy(*keys, "id").agg(F.count(F.lit(1)).alias("_wanted")), "wanted")
+    folded, ring = chains(deps, ids, keys)
+    inner = folded.select(*keys, "id").unionByName(ring)
+    heads = materialize(ids.join(inner, [*keys, "id"], "left_anti"), "heads")
+    # Where a head's dependency is folded: the head that stands for it, and how far behind it is.
+    stands = folded.select(*keys, F.col("id").alias("depends_on"), "head", "steps").unionByName(
+        heads.select(*keys, F.col("id").alias("depends_on"), F.col("id").alias("head"), F.lit(0).cast("bigint").alias("steps")))
+    between = deps.join(heads, [*keys, "id"], "left_semi").join(stands, [*keys, "depends_on"], "left")
+    between = materialize(between.select(*keys, "id", "head", "steps"), "between")
+    wanted = materialize(between.groupBy(*keys, "id").agg(F.count(F.lit(1)).alias("_wanted")), "wanted")
     schema = ids.withColumn("layer", F.lit(1).cast("bigint")).schema
-    first = ids.join(wanted, [*keys, "id"], "left_anti").withColumn("layer", F.lit(1).cast("bigint"))
 
     def save(df: DataFrame, n: int) -> int:
         counted = Observation()
-        df.observe(counted, F.count(F.lit(1)).alias("rows")).write.parquet(f"{base}/layer={n}")
+        df.observe(counted, F.count(F.lit(1)).alias("rows")).write.parquet(f"{base}/round={n}")
         return counted.get["rows"]
 
-    rows = save(first, 1)
-    paths = [f"{base}/layer=1"]
+    rows = save(heads.join(wanted, [*keys, "id"], "left_anti").withColumn("layer", F.lit(1).cast("bigint")), 1)
+    paths = [f"{base}/round=1"]
     while rows:
-        # A node is ready when as many of its dependencies are placed as it has, one of them in the newest layer.
-        placed = spark.read.schema(schema).parquet(*paths).select(*keys, F.col("id").alias("depends_on"))
-        newest = spark.read.schema(schema).parquet(paths[-1]).select(*keys, F.col("id").alias("depends_on"))
-        met = deps.join(deps.join(newest, [*keys, "depends_on"], "left_semi").select(*keys, "id").distinct(), [*keys, "id"], "left_semi")
-        counted = met.join(placed, [*keys, "depends_on"], "left_semi").groupBy(*keys, "id").agg(F.count(F.lit(1)).alias("_met"))
+        # A head is ready when as many of its dependencies are placed as it has, one of them in the newest round.
+        as_dep = lambda *at: spark.read.schema(schema).parquet(*at).withColumnRenamed("id", "head")
+        touched = between.join(as_dep(paths[-1]), [*keys, "head"], "left_semi").select(*keys, "id").distinct()
+        met = between.join(touched, [*keys, "id"], "left_semi").join(as_dep(*paths), [*keys, "head"])
+        counted = met.groupBy(*keys, "id").agg(F.count(F.lit(1)).alias("_met"), F.max(F.col("layer") + F.col("steps") + 1).alias("layer"))
         ready = counted.join(wanted, [*keys, "id"]).filter(F.col("_met") == F.col("_wanted"))
-        layer = len(paths) + 1
-        rows = save(ready.select(*keys, "id", F.lit(layer).cast("bigint").alias("layer")), layer)
-        paths.append(f"{base}/layer={layer}")
-    layers = spark.read.schema(schema).parquet(*paths)
+        rows = save(ready.select(*keys, "id", "layer"), len(paths) + 1)
+        paths.append(f"{base}/round={len(paths) + 1}")
+    placed = spark.read.schema(schema).parquet(*paths)
+    behind = folded.join(placed.withColumnRenamed("id", "head"), [*keys, "head"]).select(*keys, "id", (F.col("layer") + F.col("steps")).alias("layer"))
+    layers = placed.unionByName(behind)
     error = F.when(F.col("layer").isNull(), F.coalesce(
         F.concat(F.lit("depends on unknown "), F.col("_unknown").cast("string")), F.lit("on or behind a cycle")))
     return (
