@@ -34,6 +34,8 @@ UNIT = 1_000_000
 #: Bytes of the longest word that goes into the trie.
 LONG = 256
 _BASE = 0x9FB21C651E98DF25
+#: Bytes of texts that share a trie; each of its levels costs a few calls however few prefixes it has.
+CHUNK = 2 << 20
 
 
 class Pieces:
@@ -147,7 +149,7 @@ def _count(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
     vocabulary = pieces(path)
     mark = np.frombuffer(BLANK.encode(), np.uint8)
     for batch in batches:
-        for lo, hi, data, offsets in W.chunks(batch.column("text")):
+        for lo, hi, data, offsets in W.chunks(batch.column("text"), CHUNK):
             w = W.Words(data, offsets)
             _, first, of = np.unique(w.hashes(data), return_index=True, return_inverse=True)
             sizes = w.ends[first] - w.starts[first]
