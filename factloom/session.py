@@ -15,6 +15,9 @@ SETTINGS = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     # Parquet of repeated strings is many times smaller on disk than in memory; broadcasts are decided on the latter.
     "spark.sql.sources.fileCompressionFactor": "8.0",
+    # Rows and bytes of a batch that goes to Python; texts may be long.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "4000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8388608",
     # Joins whose shuffled side is small in every partition hash it instead of sorting both sides.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
 }
