@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,9 +48,30 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: Paths given out inside the blocks of ``temporary`` that this thread of work is in.
+_open_blocks: ContextVar[tuple[list[str], ...]] = ContextVar("open_blocks", default=())
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder; nothing else uses it."""
-    return f"{shared_dir(spark)}/factloom/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/factloom/{label}-{uuid.uuid4().hex}"
+    for given in _open_blocks.get():
+        given.append(path)
+    return path
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """A block whose intermediate tables are removed at its end; what is wanted of it must be written elsewhere by then."""
+    given: list[str] = []
+    before = _open_blocks.set((*_open_blocks.get(), given))
+    try:
+        yield
+    finally:
+        _open_blocks.reset(before)
+        for name in given:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -101,19 +101,21 @@ def test_the_burst_stream_goes_on_between_batches(spark):
 def test_late_changes_are_dropped_and_counted(spark):
     schema = "seq bigint,s bigint"
     path, out = scratch_path(spark, "late"), scratch_path(spark, "out")
-    late, counter = 0, SB.LateRows()
-    spark.streams.addListener(counter)
+    late, kept = 0, scratch_path(spark, "counts")
     # Each part arrives before a run of its own, so the order is certain; the watermark lives in the checkpoint.
-    for part in ([(1, 9000), (2, 10000)], [(3, 10001), (3, 10001)], [(4, 9010)]):
+    for part in ([(1, 9000), (2, 10000)], [(3, 10001), (3, 10001)], [(4, 9010)], [(5, 9011), (6, 9012)]):
+        # As after a restart of the driver, a listener of its own.
+        counter = SB.LateRows(spark, kept)
+        spark.streams.addListener(counter)
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
         stream = spark.readStream.schema(schema).parquet(path).withColumn("ts", F.timestamp_seconds("s"))
         writer = SB.on_time(stream, "100 seconds", ["seq"]).writeStream.trigger(availableNow=True).option("checkpointLocation", out + "/c")
         query = writer.format("parquet").start(out + "/rows")
         query.awaitTermination()
         late += counter.of(query)
-    spark.streams.removeListener(counter)
+        spark.streams.removeListener(counter)
     assert sorted(r["seq"] for r in spark.read.parquet(out + "/rows").collect()) == [1, 2, 3]
-    assert late == 1
+    assert late == SB.late_rows_of(spark, kept, query.id) == 3
 
 
 def test_late_rows_of_more_batches_than_progress_keeps(spark):
@@ -132,3 +134,20 @@ def test_late_rows_of_more_batches_than_progress_keeps(spark):
     finally:
         spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
         spark.streams.removeListener(counter)
+
+
+def test_tables_of_a_block_are_removed(spark):
+    import os
+
+    from factloom.session import materialize, temporary
+
+    rows = spark.range(5)
+    outside = materialize(rows, "kept")
+    with temporary(spark):
+        inner = materialize(rows, "gone").inputFiles()[0]
+        kept = scratch_path(spark, "kept")
+    result = scratch_path(spark, "result")
+    with temporary(spark):
+        materialize(rows, "gone").write.parquet(result)
+    assert outside.count() == spark.read.parquet(result).count() == 5
+    assert not os.path.exists(inner.removeprefix("file://")) and not os.path.exists(kept)
