@@ -4,6 +4,10 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the las
 quality drops rejected documents and takes boilerplate lines out, near copies leave one document of each group,
 decontamination drops documents that leak a benchmark item, the secret scan replaces secrets by a mark. Packing returns a
 row per piece of a sequence.
+
+Defined cases: a null or blank text has no words, so the quality rules reject it; of rows equal in id and text one stays, as
+of any near copies; null ids, sources, languages and lengths stay null; further columns are carried to packing, which reads id
+and text alone; an empty table gives no piece.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import jaccard, packing, quality, secret_scan, templates
-from factloom.session import configure, scratch_path
+from factloom.session import configure, scratch_path, temporary
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,11 +57,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over the documents of a folder."""
+    """The stages over the documents of a folder. A stage's intermediate tables go once its result is written."""
     configure(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = scratch_path(spark, f"pipeline-{name.replace(' ', '-')}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with temporary(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

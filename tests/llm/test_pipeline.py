@@ -79,3 +79,29 @@ def test_run(spark, sf_dir, steps):
     count = lambda f: f.groupBy("doc_id").agg({"length": "sum"}).count()
     assert count(corpus_pipeline.run(spark, sf_dir).select(*key)) == count(steps[5])
     assert jaccard.PERCENT == 75
+
+
+def through(spark, sf_dir, docs, tmp_path):
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        columns = docs.columns
+        stage(spark, docs, sf_dir).write.parquet(f"{tmp_path}/{i}")
+        docs = spark.read.parquet(f"{tmp_path}/{i}")
+        assert i == len(corpus_pipeline.STAGES) - 1 or docs.columns == columns
+    return docs
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, id string, row int, key string, shingles int, body string"
+
+
+def test_odd_rows(spark, sf_dir, tmp_path):
+    words = lambda n, k: " ".join(f"w{k}x{i}" for i in range(n))
+    extra = ("a", 1, "b", 2, "c")
+    rows = [(1, None), (2, ""), (3, " \n\t"), (4, words(60, 4)), (4, words(60, 4)), (5, words(60, 4)), (None, words(50, 6)), (7, words(30_000, 7)), (8, words(40, 8))]
+    docs = spark.createDataFrame([(i, t, None if i == 8 else "en", None if i == 8 else "s", None, *extra) for i, t in rows], ODD)
+    got = through(spark, sf_dir, docs, tmp_path).collect()
+    assert {r.doc_id for r in got} == {4, None, 7, 8}
+    assert sum(r.length for r in got if r.doc_id == 4) == next(r.doc_tokens for r in got if r.doc_id == 4)
+
+
+def test_empty_table(spark, sf_dir, tmp_path):
+    assert through(spark, sf_dir, spark.createDataFrame([], ODD), tmp_path).count() == 0
