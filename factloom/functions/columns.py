@@ -392,6 +392,12 @@ def glob_regex(glob: Column) -> Column:
     return F.concat(F.lit("(?s)^"), out, F.lit("$"))
 
 
+def glob_folder(glob: Column) -> Column:
+    """The folder that every path of a glob lies in, or the glob itself if it has no wildcard; the root is empty."""
+    start = F.regexp_extract(glob, r"^[^*?\[{]*", 0)
+    return F.when(start == glob, glob).otherwise(F.regexp_extract(start, "(?s)^(.*)/[^/]*$", 1))
+
+
 def area_paths(base: Column, files: Column) -> Column:
     """The globs of a module at ``base``: its file when there is one, its directory when it has files."""
     file, folder = F.concat(base, F.lit(".rs")), F.concat(base, F.lit("/"))

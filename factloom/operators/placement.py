@@ -16,18 +16,18 @@ OUTSIDE = "outside every area"
 def place_files(files: DataFrame, areas: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """(keys, file, area, side) of the files some area claims: the first area with a matching glob.
 
-    files (keys, file); areas (repo, ord, name, side, glob), one row per glob. Each distinct file is matched
-    once with its own repo's globs: an equi join on the repo, the regex as the rest of the condition. Policy
-    is a handful of rows per repo, so Spark broadcasts it while it is small and otherwise shuffles, where the
-    skew join splits a hot repo's files.
+    files (keys, file); areas (repo, ord, name, side, glob), one row per glob. A glob is found by its literal
+    start: the folder before its first wildcard, or the whole path if it has none. Each distinct file looks up
+    its ancestors there, so its regexes are those of globs that begin like it; only globs that start with a
+    wildcard meet every file of their repo. The join on (repo, folder) is Spark's choice by the policy's size,
+    and a shuffled one has a hot repo's files spread over its folders.
     """
     globs = areas.select(
-        F.col("repo").alias("_repo"), "ord", F.col("name").alias("area"), "side",
+        "repo", "ord", F.col("name").alias("area"), "side", C.glob_folder(F.col("glob")).alias("_folder"),
         C.glob_regex(F.col("glob")).alias("_re"),
     )
-    hits = files.select(*keys, "file").distinct().join(
-        globs, (F.col("repo") == F.col("_repo")) & F.rlike("file", F.col("_re"))
-    )
+    spots = files.select(*keys, "file").distinct().withColumn("_folder", F.explode(F.array_distinct(C.ancestors(F.col("file")))))
+    hits = spots.join(globs, ["repo", "_folder"]).filter(F.rlike("file", F.col("_re")))
     return (
         hits.groupBy(*keys, "file").agg(F.min_by(F.struct("area", "side"), "ord").alias("p")).select(*keys, "file", "p.*")
     )

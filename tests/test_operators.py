@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from factloom import fixed
 from factloom.functions import columns as C
-from factloom.operators import areas, assemble, bursts, graph, lints, ordered, placement, rules, sessions, snapshots
+from factloom.operators import areas, assemble, bursts, graph, lints, ordered, placement, reports, rules, sessions, snapshots
 from factloom.streaming.bursts import cut_bursts
 
 c = F.col
@@ -33,6 +33,75 @@ def test_first_matching_area_wins(spark):
         ("src/adapters/http/handlers.rs", "http"), ("src/adapters/stripe/mod.rs", "adapters"), ("src/worker.rs", "app")]
 
 
+def test_placing_by_folder_is_placing_by_every_glob(spark):
+    rng = random.Random(5)
+    name = lambda: rng.choice(["a", "b", "src", "a.b", "", "x y", "é"])
+    paths = sorted({"/".join(name() for _ in range(rng.randrange(1, 6))) for _ in range(300)})
+    part = lambda: rng.choice(["a", "b", "src", "**", "*", "?", "{a,b}", "[ab]", "a*", "[!a]", "a.b", "é", ""])
+    globs = sorted({"/".join(part() for _ in range(rng.randrange(1, 5))) for _ in range(300)})
+    listed = spark.createDataFrame([("r", n, f"n{n}", "s", g) for n, g in enumerate(globs)] + [("r", 999, "null", "s", None)], "repo string,ord int,name string,side string,glob string")
+    files = spark.createDataFrame([("r", "t", p) for p in [*paths, None]], "repo string,tree_key string,file string")
+    every = files.join(listed, "repo").filter(F.rlike("file", C.glob_regex(c("glob"))))
+    want = every.groupBy("file").agg(F.min_by("name", "ord").alias("area"))
+    assert rows(placement.place_files(files, listed), "file", "area") == rows(want, "file", "area")
+    # A pair of folder and path that begins like it is all that a regex sees.
+    assert every.filter(~F.array_contains(C.ancestors(c("file")), C.glob_folder(c("glob")))).count() == 0
+
+
+def test_findings_of_a_change_are_those_of_two_full_runs(spark):
+    rng = random.Random(8)
+    spec = {
+        "items": "repo string,tree_key string,id string,file string,module string,cfg string",
+        "links": "repo string,tree_key string,`from` string,target_kind string,target_id string,kind string,member string,confidence string,file string,line int",
+        "externals": "repo string,tree_key string,id string,kind string", "ports": "repo string,tree_key string,id string,kind string,side string",
+    }
+    names = ["core/a.rs", "core/b.rs", "web/a.rs", "web/b.rs", "db/a.rs", "lone.rs"]
+    items = {f"u::i{n}#fn": rng.choice(names) for n in range(40)}
+    kind_of = {"item": "calls", "external": "uses-external", "table": "writes", "port": "uses-external"}
+
+    def link(source):
+        kind = rng.choice(["item", "item", "item", "external", "table", "port"])
+        to = rng.choice(sorted(items)) if kind == "item" else f"{kind}:{rng.randrange(3)}"
+        return ("r", source, kind, to, kind_of[kind], None, "resolved", rng.randrange(4))
+
+    links = {s: [link(s) for _ in range(8)] for s in items}
+    externals = {f"external:{n}": "database" for n in range(3)} | {"port:0": "database"}
+    ports = {f"port:{n}": "database" for n in range(3)}
+
+    def side(tree):
+        own = [(r, tree, a, k, t, m, x, conf, items.get(a, "lone.rs"), line) for ls in links.values() for r, a, k, t, m, x, conf, line in ls]
+        data = {
+            "items": [("r", tree, i, f, f[:-3], None) for i, f in items.items()], "links": own,
+            "externals": [("r", tree, i, k) for i, k in externals.items()], "ports": [("r", tree, i, k, "driven") for i, k in ports.items()],
+        }
+        return {n: spark.createDataFrame(data[n], spec[n]) for n in spec}
+
+    areas_df = spark.createDataFrame([("r", n, a, s, f"{a}/**") for n, (a, s) in enumerate([("core", "domain"), ("web", "driving"), ("db", "driven")])], "repo string,ord int,name string,side string,glob string")
+    rules_df = spark.createDataFrame([("r", 1, "domain", "depend-on", ["driving", "externals"], "block"), ("r", 2, "web", "depend-on", ["db", "core"], "warn"), ("r", 3, "db", "depend-on", ["externals"], "warn")],
+                                     "repo string,ord int,subject string,must_not string,targets array<string>,level string")
+    allows = spark.createDataFrame([], "repo string,ord int,rule string,site string,target string,by string,reason string")
+    before = side("t1")
+    changed = {"core/a.rs"}
+    for s in [i for i, f in items.items() if f == "core/a.rs"]:
+        links[s] = [*links[s][2:], link(s), links[s][-1]]
+    moved, gone = [i for i, f in sorted(items.items()) if f == "web/a.rs"][:2]
+    items[moved] = "db/a.rs"
+    del items[gone]
+    changed |= {"web/a.rs", "db/a.rs"}
+    externals["external:1"] = "crate"
+    del externals["port:0"], ports["port:2"]
+    after = side("t2")
+    files = spark.createDataFrame([("r", f) for f in changed], "repo string,file string")
+    got = reports.findings_of_change(before, after, files, areas_df, rules_df, allows)
+    full = [rules.check_rules(*(s[n] for n in ("items", "links", "externals", "ports")), areas_df, rules_df, allows, ["repo"]) for s in (before, after)]
+    keys = ["repo", *reports.CHANGE_KEY]
+    a, b = (set(f.select(*keys).toLocalIterator()) for f in full)
+    want = {(*r, "added") for r in b - a} | {(*r, "fixed") for r in a - b}
+    found = [tuple(r) for r in got.select(*keys, "change").collect()]
+    assert len(found) == len(set(found)) and set(found) == want
+    assert {r[-1] for r in want} == {"added", "fixed"} and a & b
+
+
 @pytest.mark.parametrize("glob,path,match", [
     ("src/*.rs", "src/a/b.rs", True), ("**/x/**", "x/y", True), ("**/x/**", "a/x/y", True), ("**/x/**", "ax/y", False),
     ("a/**/b", "a/b", True), ("a/**/b", "a/c/d/b", True), ("a/{b,c}/?.rs", "a/c/d.rs", True), ("a/{b,c}/?.rs", "a/d/d.rs", False),
