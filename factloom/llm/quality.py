@@ -4,10 +4,11 @@ Lines are normalised (A-Z in lower case, runs of white space as one) and hashed.
 documents that hold it are counted, copies as one. A line above the limit is boilerplate and is removed; a document that
 then keeps too few of its words is depleted and rejected.
 
-Copies are the same text, and near copies: texts whose 5-word shingles are similar by ``SIMILAR``, estimated from
-``SKETCH`` min-hashes, and what such pairs connect. Texts that share a bucket of a few min-hashes are compared with the
-bucket's first or last text only, so a large group makes as many pairs as it has members. Only texts that hold a line
-above the limit are compared. Pages that share a passage are no copies, however many they are.
+Copies are the same text, and near copies: texts whose 5-word shingles (A-Z in lower case) are similar by ``SIMILAR``, and
+what such pairs connect. Texts that share a bucket of a few of ``SKETCH`` min-hashes are compared with the bucket's first or
+last text only, so a large group makes as many pairs as it has members. The min-hashes estimate the similarity; where the
+estimate is within ``DOUBT`` of the limit, the whole sets of shingles are compared. Only texts that hold a line above the
+limit are compared. Pages that share a passage are no copies, however many they are.
 
 Defined cases: null text is empty, with all counts 0 and rejected; a null host is the host ''; repeated rows get equal
 rows; an empty table gives an empty one; further columns are not read.
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm import words as W
 from factloom.llm.components import components
+from factloom.llm.jaccard import shingle_sets
 from factloom.session import configure, materialize
 
 SHINGLE = 5
@@ -33,6 +35,8 @@ MAX_DOCS = 40
 MIN_LEFT = 0.3
 #: Share of equal min-hashes from which two texts are near copies, and the number of min-hashes (two bytes each).
 SIMILAR, SKETCH = 0.75, 128
+#: Three standard deviations of the estimate at the limit.
+DOUBT = 3 * (SIMILAR * (1 - SIMILAR) / SKETCH) ** 0.5
 #: (first min-hash, min-hashes) of each bucket: short ones find all near copies, long ones hold little else.
 BUCKETS = [*((k, 4) for k in range(0, 64, 4)), *((k, 8) for k in range(64, 128, 8))]
 SYMBOLS = b"#*$%&|<>"
@@ -107,7 +111,8 @@ def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             group, sizes = _grouped(owner, shingles)
             again = W.covered(at[sizes[group] > 1], SHINGLE, len(w.starts)) if len(at) else np.zeros(len(w.starts), bool)
 
-            plain = W.range_hashes(w.hashes(W.lower(data)), first, last)
+            lowered = w.hashes(W.lower(data))
+            plain = W.range_hashes(lowered, first, last)
             group, sizes = _grouped(text, plain)
             kept, index = np.unique(group, return_index=True)
             line_words = np.bincount(group, weights=last - first, minlength=len(kept)).astype(np.int64)
@@ -116,7 +121,7 @@ def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [part.column("id"), part.column("host"), part.column("text_key")]
                 + [pa.array(x, pa.int64()) for x in (w.counts, chars, symbols, repeated, W.sums(again, w.first))]
-                + [_sketches(shingles, np.bincount(owner, minlength=n)), W.lists(plain[index].view(np.int64), per_text, pa.int64()), W.lists(line_words, per_text, pa.int64())],
+                + [_sketches(W.window_hashes(lowered, at, SHINGLE), np.bincount(owner, minlength=n)), W.lists(plain[index].view(np.int64), per_text, pa.int64()), W.lists(line_words, per_text, pa.int64())],
                 names=["id", "host", "text_key", *_COUNTS, "sketch", "lines", "line_words"],
             )
 
@@ -128,32 +133,66 @@ def measured(docs: DataFrame) -> DataFrame:
     return materialize(rows.mapInArrow(measure, _SCHEMA), "quality")
 
 
-def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs whose sketches agree in enough min-hashes."""
+def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs that may be similar; ``sure`` where the sketches leave no doubt."""
     for batch in batches:
         a, b = (np.array(batch.column(c).to_pylist(), f"S{2 * SKETCH}").view(np.uint16).reshape(-1, SKETCH) for c in ("su", "sv"))
-        yield batch.select(["u", "v"]).filter(pa.array((a == b).sum(axis=1) >= SIMILAR * SKETCH))
+        share = (a == b).sum(axis=1) / SKETCH
+        yield batch.select(["u", "v"]).append_column("sure", pa.array(share > SIMILAR + DOUBT)).filter(pa.array(share >= SIMILAR - DOUBT))
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct shingles of each text, in order, eight bytes each."""
+    for batch in batches:
+        for lo, hi, data, offsets in W.chunks(batch.column("text")):
+            values, per_text, _ = shingle_sets(data, offsets)
+            parts = np.split(values, np.cumsum(per_text)[:-1])
+            yield pa.RecordBatch.from_arrays([batch.column("text_key").slice(lo, hi - lo), pa.array([x.tobytes() for x in parts], pa.binary())], names=["text_key", "shingles"])
 
 
-def near_copies(texts: DataFrame) -> DataFrame:
-    """(node, root) of the texts (text_key, sketch) that have near copies; a root stands for its group."""
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose sets are similar enough."""
+    for batch in batches:
+        keep = []
+        for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
+            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (a, b))
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(both >= SIMILAR * (len(x) + len(y) - both))
+        yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+
+def near_copies(texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, root) of the texts (text_key, sketch) of ``docs`` that have near copies; a root stands for its group."""
     keys = F.array(*[F.xxhash64(F.lit(at), F.substring("sketch", 2 * at + 1, 2 * n)) for at, n in BUCKETS])
     held = texts.where("sketch IS NOT NULL").select("text_key", F.posexplode(keys).alias("place", "bucket"))
     ends = held.groupBy("place", "bucket").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high")).where("low < high")
     short = sum(n == BUCKETS[0][1] for _, n in BUCKETS)
-    pairs = held.join(ends, ["place", "bucket"]).select(F.col("text_key").alias("u"), F.when(F.col("place") < short, F.col("low")).otherwise(F.col("high")).alias("v")).where("u != v").distinct()
+    pairs = held.join(ends, ["place", "bucket"]).select(F.col("text_key").alias("u"), F.when(F.col("place") < short, F.col("low")).otherwise(F.col("high")).alias("v")).where("u != v")
+    pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     both = pairs.join(texts.select(F.col("text_key").alias("u"), F.col("sketch").alias("su")), "u").join(texts.select(F.col("text_key").alias("v"), F.col("sketch").alias("sv")), "v")
-    return components(both.select("u", "v", "su", "sv").mapInArrow(_similar, "u long, v long"))
-
-
-def frequent_lines(rows: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
-    """(host, line, n_docs) of lines above the limit; n_docs counts copies as one. Every count is combined before its shuffle."""
+    told = materialize(both.select("u", "v", "su", "sv").mapInArrow(_estimated, "u long, v long, sure boolean"), "told")
+    # Pairs that surely similar ones connect already need no sets.
+    roots = materialize(components(told.where("sure").select("u", "v")), "roots")
+    doubtful = told.where("NOT sure").drop("sure")
+    for end in ("u", "v"):
+        doubtful = doubtful.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"r{end}")), end, "left")
+    doubtful = materialize(doubtful.where("ru IS NULL OR rv IS NULL OR ru != rv").select("u", "v"), "doubtful")
+    wanted = doubtful.select(F.explode(F.array("u", "v")).alias("text_key")).distinct()
+    rows = docs.select(F.xxhash64("text").alias("text_key"), "text").join(wanted, "text_key", "left_semi").dropDuplicates(["text_key"])
+    sets = materialize(rows.mapInArrow(_sets, "text_key long, shingles binary"), "sets")
+    both = doubtful.join(sets.select(F.col("text_key").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("text_key").alias("v"), F.col("shingles").alias("b")), "v")
+    links = both.select("u", "v", "a", "b").mapInArrow(_similar, "u long, v long")
+    return components(links.unionByName(roots.where("node != root").select(F.col("node").alias("u"), F.col("root").alias("v"))))
+
+
+def frequent_lines(rows: DataFrame, docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
+    """(host, line, n_docs) of lines above the limit, from the measured ``rows`` of ``docs``; n_docs counts copies as one. Every count is combined before its shuffle."""
     held = rows.select("host", F.explode("lines").alias("line"), "text_key").distinct()
     often = held.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_docs).drop("n")
     holders = materialize(held.join(often, ["host", "line"]), "holders")
     sketches = rows.select("text_key", "sketch").join(holders.select("text_key").distinct(), "text_key", "left_semi")
     texts = materialize(sketches.groupBy("text_key").agg(F.min("sketch").alias("sketch")), "sketches")
-    roots = near_copies(texts).withColumnRenamed("node", "text_key")
+    roots = near_copies(texts, docs).withColumnRenamed("node", "text_key")
     classes = holders.join(roots, "text_key", "left").select("host", "line", F.coalesce("root", "text_key").alias("class")).distinct()
     return classes.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > max_docs)
 
@@ -161,7 +200,7 @@ def frequent_lines(rows: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
 def judge(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
     """A row per document: id, host, text_key, the counts, base_failed, n_left (words left), removed (line hashes), kept."""
     rows = measured(docs)
-    frequent = frequent_lines(rows, max_docs)
+    frequent = frequent_lines(rows, docs, max_docs)
     one = rows.groupBy("host", "text_key").agg(F.min(F.struct("lines", "line_words")).alias("x"))
     lines = one.select("host", "text_key", F.explode(F.arrays_zip("x.lines", "x.line_words")).alias("x")).select("host", "text_key", F.col("x.lines").alias("line"), F.col("x.line_words").alias("n"))
     lost = lines.join(frequent, ["host", "line"]).groupBy("host", "text_key").agg(F.sum("n").alias("n_lost"), F.sort_array(F.collect_list("line")).alias("removed"))

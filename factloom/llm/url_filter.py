@@ -2,11 +2,13 @@
 
 Features are built-in columns: lengths, depth, shares of digits and letters, entropy of the characters, parameters, and
 smoothed statistics of the host's suffixes. They are trained from labelled URLs; without other labels, those that rules
-decide serve. The labelled sample is bounded by ``SAMPLE``, and with it the table of suffixes, which is broadcast.
+decide serve. Suffixes are counted over every distinct labelled URL. The trees alone are fitted on a sample, which is drawn
+from the distinct URLs of each label by itself: at most about half of ``SAMPLE`` of either, so a rare label stays whole and
+a frequent URL is one row.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path; repeated rows give equal rows; ties between
-rules of one length are broken by their text; without labelled rows of both verdicts the method gives the only one there
-is, or allow; an empty table gives an empty one; further columns are not read.
+rules of one length are broken by their text; if no labelled URL at all has one of the verdicts, the method gives the other,
+or allow without any; null labels are left out; an empty table gives an empty one; further columns are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from factloom.session import configure, materialize
 
-#: Labelled URLs that a model is fitted on about, chosen by a hash of the URL, when there are more.
+#: Distinct labelled URLs that the trees are fitted on about, chosen by a hash of the URL, when there are more.
 SAMPLE = 20_000
 TREES, DEPTH = 15, 4
 FEATURES = ("n_chars", "n_host", "n_path", "n_labels", "depth", "digits", "letters", "dashes", "n_params", "n_query", "fragment", "secure", "entropy", "host_entropy", "rate_1", "seen_1", "rate_2", "seen_2")
@@ -75,41 +77,50 @@ def lexical(rows: DataFrame) -> DataFrame:
     })
 
 
+def _assembled(rows: DataFrame) -> DataFrame:
+    return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
+
+
 class UrlModel:
     """Suffix statistics and trees; ``label`` 1 is block."""
 
     def __init__(self, labelled: DataFrame, sample: int = SAMPLE):
         """Fit on (url, label)."""
         host, path = parts(F.col("url"))
-        n = max(1, labelled.count())
-        some = labelled.where(F.pmod(F.xxhash64("url"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / n)))
-        rows = materialize(lexical(some.select("url", F.col("label").cast("double").alias("label"), host.alias("host"), path.alias("path"))), "urls")
-        found = {r.label: r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+        known = labelled.select("url", F.col("label").cast("double").alias("label")).where("label IS NOT NULL").distinct()
+        known = materialize(known.withColumns({"host": host, "path": path}), "labelled")
+        # Two labels.
+        found = {r.label: r.n for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
         self.only = None if len(found) == 2 else next(iter(found), 0.0)
         if self.only is None:
             self.prior = found[1.0] / sum(found.values())
-            self.suffixes = [materialize(rows.groupBy(f"suffix_{i}").agg(F.sum("label").alias("blocked"), F.count(F.lit(1)).alias("n")), "suffixes") for i in (1, 2)]
-            # A row's own label is taken out of its suffixes' statistics.
+            self.suffixes = [
+                materialize(known.groupBy(_suffix(F.col("host"), i).alias(f"suffix_{i}")).agg(F.sum("label").alias("blocked"), F.count(F.lit(1)).alias("n")), "suffixes")
+                for i in (1, 2)
+            ]
+            share = F.lit(float(1 << 30)) * F.least(F.lit(1.0), F.when(F.col("label") == 1.0, sample / 2 / found[1.0]).otherwise(sample / 2 / found[0.0]))
+            rows = materialize(self._with_suffixes(lexical(known.where(F.pmod(F.xxhash64("url"), F.lit(1 << 30)) < share)), own=F.col("label")), "urls")
             trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, maxBins=32, stepSize=0.2, seed=1, minInstancesPerNode=5)
-            self.trees = trees.fit(self._assembled(rows, own=F.col("label")))
+            self.trees = trees.fit(_assembled(rows))
 
-    def _assembled(self, rows: DataFrame, own: Column | None = None) -> DataFrame:
+    def _with_suffixes(self, rows: DataFrame, own: Column | None = None) -> DataFrame:
+        """``rows`` with the statistics of their suffixes; ``own``: a row's own label, taken out of them."""
         out = rows
         one = F.lit(0.0) if own is None else F.lit(1.0)
         for i, table in enumerate(self.suffixes, 1):
-            # At most as many rows as the labelled sample.
-            out = out.join(F.broadcast(table), f"suffix_{i}", "left")
+            # Grows with the labelled hosts: read back from files, so Spark broadcasts it by its real size or shuffles.
+            out = out.join(table, f"suffix_{i}", "left")
             n = F.greatest(F.coalesce(F.col("n"), F.lit(0)) - one, F.lit(0.0))
             blocked = F.coalesce(F.col("blocked"), F.lit(0.0)) - (F.lit(0.0) if own is None else own)
             out = out.withColumns({f"rate_{i}": (blocked + 5 * self.prior) / (n + 5), f"seen_{i}": F.log1p(n)}).drop("n", "blocked")
-        return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(out)
+        return out
 
     def score(self, rows: DataFrame) -> DataFrame:
         """``rows`` with url, host and path, and ``score``: how likely each is to be blocked."""
         if self.only is not None:
             return rows.withColumn("score", F.lit(float(self.only)))
         kept = [c for c in rows.columns]
-        out = self.trees.transform(self._assembled(lexical(rows)))
+        out = self.trees.transform(_assembled(self._with_suffixes(lexical(rows))))
         return out.select(*kept, vector_to_array("probability")[1].alias("score"))
 
 

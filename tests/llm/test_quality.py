@@ -1,8 +1,11 @@
 """Quality rules against a plain count."""
 
+import random
 import re
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from factloom.llm import quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -108,3 +111,40 @@ def test_clean_and_empty(spark):
     assert out.columns == docs.columns
     assert {(r.doc_id, r.text, r.n_chars) for r in out.collect()} == {(i, unique_words(i, 30), len(unique_words(i, 30))) for i in range(9)}
     assert quality.judge(docs.limit(0)).count() == 0 and quality.clean(docs.limit(0)).count() == 0
+
+
+def test_near_copies_against_all_pairs(spark):
+    rng = random.Random(3)
+    rows = []
+    for g in range(60):
+        words = [f"g{g}w{k}" for k in range(rng.randrange(60, 300))]
+        for _ in range(rng.randrange(2, 6)):
+            text = list(words)
+            # Edits apart from each other, each of five shingles: similarities lie about the limit.
+            for at in range(0, len(text), rng.choice((40, 56, 64, 96))):
+                text[at] = f"x{len(rows)}at{at}"
+            text[0] = text[0].upper()
+            rows.append((len(rows) + 1, " ".join(text), "a"))
+    docs = make(spark, rows)
+    measured = quality.measured(docs)
+    texts = measured.groupBy("text_key").agg(F.min("sketch").alias("sketch"))
+    roots = {r.node: r.root for r in quality.near_copies(texts, docs).collect()}
+    keys = {r.id: r.text_key for r in measured.collect()}
+    sets = {}
+    for i, text, _ in rows:
+        words = re.sub("[A-Z]", lambda m: m[0].lower(), text).split(" ")
+        sets[i] = {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+    up = {i: i for i in sets}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    linked = [(i, j) for i in sets for j in sets if j < i and len(sets[i] & sets[j]) >= 0.75 * len(sets[i] | sets[j])]
+    for i, j in linked:
+        up[root(i)] = root(j)
+    same = lambda i, j: roots.get(keys[i], i) == roots.get(keys[j], j)
+    assert len(linked) > 100
+    assert sum(same(i, j) for i, j in linked) >= 0.98 * len(linked)
+    assert not [(i, j) for i in sets for j in sets if j < i and same(i, j) and root(i) != root(j)]

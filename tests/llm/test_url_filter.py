@@ -68,3 +68,13 @@ def test_held_out_accuracy(spark):
     model = url_filter.UrlModel(table.limit(800))
     test = model.score(spark.createDataFrame(rows[800:], "url string, label double").withColumns({"host": host, "path": path})).collect()
     assert sum((r.score > 0.5) == (r.label > 0.5) for r in test) >= 0.95 * len(test)
+
+
+def test_a_rare_label_and_a_frequent_url(spark):
+    rows = [("http://hot.org/a", 0.0)] * 3000 + [(f"http://h{i}.org/{i}", 0.0) for i in range(2000)] + [(f"http://b{i}.xyz/?p={i}", 1.0) for i in range(12)]
+    host, path = url_filter.parts(F.col("url"))
+    model = url_filter.UrlModel(spark.createDataFrame(rows + [("http://none.xyz/", None)], "url string, label double"), sample=200)
+    assert model.only is None
+    assert {r.suffix_1: (r.blocked, r.n) for r in model.suffixes[0].collect()} == {"org": (0.0, 2001), "xyz": (12.0, 12)}
+    asked = spark.createDataFrame([("http://b12.xyz/?p=12",), ("http://h2345.org/2345",), ("http://h77.org/77",)], "url string").withColumns({"host": host, "path": path})
+    assert [r.score > 0.5 for r in model.score(asked).orderBy("url").collect()] == [True, False, False]
