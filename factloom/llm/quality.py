@@ -37,6 +37,8 @@ MIN_LEFT = 0.3
 SIMILAR, SKETCH = 0.75, 128
 #: Three standard deviations of the estimate at the limit.
 DOUBT = 3 * (SIMILAR * (1 - SIMILAR) / SKETCH) ** 0.5
+#: Doubtful texts up to which their keys (eight bytes each) are broadcast, so that no other text is shuffled; beyond, all are joined.
+LOOKUP = 1_000_000
 #: (first min-hash, min-hashes) of each bucket: short ones find all near copies, long ones hold little else.
 BUCKETS = [*((k, 4) for k in range(0, 64, 4)), *((k, 8) for k in range(64, 128, 8))]
 SYMBOLS = b"#*$%&|<>"
@@ -177,7 +179,9 @@ def near_copies(texts: DataFrame, docs: DataFrame) -> DataFrame:
     for end in ("u", "v"):
         doubtful = doubtful.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"r{end}")), end, "left")
     doubtful = materialize(doubtful.where("ru IS NULL OR rv IS NULL OR ru != rv").select("u", "v"), "doubtful")
-    wanted = doubtful.select(F.explode(F.array("u", "v")).alias("text_key")).distinct()
+    wanted = materialize(doubtful.select(F.explode(F.array("u", "v")).alias("text_key")).distinct(), "wanted")
+    if wanted.count() <= LOOKUP:
+        wanted = F.broadcast(wanted)
     rows = docs.select(F.xxhash64("text").alias("text_key"), "text").join(wanted, "text_key", "left_semi").dropDuplicates(["text_key"])
     sets = materialize(rows.mapInArrow(_sets, "text_key long, shingles binary"), "sets")
     both = doubtful.join(sets.select(F.col("text_key").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("text_key").alias("v"), F.col("shingles").alias("b")), "v")
